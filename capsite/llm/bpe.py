@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -25,8 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 #: The pre-tokenizer of the byte-level format; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_L, _N, _S = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9", r" \t\n\r"
+#: The same pattern over texts of these characters only.
+PLAIN_TEXT = re.compile(rf"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
+PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Pre-tokens remembered by a worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,6 +75,10 @@ class Vocabulary:
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """Cuts a text by the pattern; texts of plain Latin letters take an equal pattern of explicit classes, which is faster."""
+        return PLAIN.findall(text) if PLAIN_TEXT.fullmatch(text) else self.split.findall(text)
+
     def _lookahead(self) -> int:
         """Longest chain of rules, in bytes to the right, that can decide whether a rule applies.
 
@@ -186,11 +195,11 @@ class Encoder:
         self.v, self.remembered, self.known = vocabulary, remembered, {}
         self.short = 2 * (vocabulary.lookahead + vocabulary.longest)
 
-    def learn(self, words: Iterable[str]) -> None:
-        fresh = [w for w in set(words) if w not in self.known]
+    def learn(self, words: set[str]) -> None:
+        fresh = list(words - self.known.keys())
         if len(self.known) + len(fresh) > self.remembered:
             self.known = {}
-            fresh = list(set(words))
+            fresh = list(words)
         raw = [w.encode() for w in fresh]
         fits = [i for i, w in enumerate(raw) if len(w) <= self.short]
         for i, ids in zip(fits, self.v.merge([raw[i] for i in fits])):
@@ -203,32 +212,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; texts are taken in groups of about a million characters."""
-        group: list[list[str | int]] = []
+        group: list[list[list[str] | int]] = []
         size = 0
         for text in texts:
-            group.append(self._pieces(text))
+            group.append(self._parts(text))
             size += len(text)
             if size > 1_000_000:
                 yield from self._flush(group)
                 group, size = [], 0
         yield from self._flush(group)
 
-    def _pieces(self, text: str) -> list[str | int]:
+    def _parts(self, text: str) -> list[list[str] | int]:
+        """Pre-tokens of the stretches between special tokens, and the ids of these."""
         if self.v.specials is None or not any(s in text for s in self.v.special):
-            return self.v.split.findall(text)
-        out: list[str | int] = []
-        for part in self.v.specials.split(text):
-            if part in self.v.special:
-                out.append(self.v.special[part])
-            elif part:
-                out += self.v.split.findall(part)
-        return out
-
-    def _flush(self, group: list[list[str | int]]) -> Iterator[list[int]]:
-        self.learn([w for w in chain.from_iterable(group) if isinstance(w, str)])
-        known = self.known
-        for pieces in group:
-            yield list(chain.from_iterable(known[p] if isinstance(p, str) else (p,) for p in pieces))
+            return [self.v.pre_tokens(text)]
+        return [self.v.special[p] if p in self.v.special else self.v.pre_tokens(p) for p in self.v.specials.split(text)]
+
+    def _flush(self, group: list[list[list[str] | int]]) -> Iterator[list[int]]:
+        self.learn(set().union(*[p for parts in group for p in parts if not isinstance(p, int)]))
+        look = self.known.__getitem__
+        for parts in group:
+            ids: list[int] = []
+            for p in parts:
+                if isinstance(p, int):
+                    ids.append(p)
+                else:
+                    ids.extend(chain.from_iterable(map(look, p)))
+            yield ids
 
 
 class Decoder:
