@@ -150,7 +150,7 @@ def runs(x: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
 
 def _row_runs(data: np.ndarray, at: np.ndarray, unit: Unit) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of a batch, in pieces of bounded size; a long row is cut, with the windows dealt out once."""
-    for i, j in pieces(at):
+    for i, j in pieces(at, PIECE):
         if unit.kind == "bytes":
             x, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
         else:
@@ -214,17 +214,18 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
         for batch in batches:
             data, at = flat(batch.column(2))
             did, t = (np.asarray(batch.column(i)) for i in (0, 1))
-            for row, start, n, off, h, c in _row_runs(data, at, unit):
-                yield int_batch(h=h.view(np.int64), v=c.view(np.int64), did=did[row], t=t[row], pack=start << 16 | n << 8 | off)
+            parts = [(h.view(np.int64), c.view(np.int64), did[row], t[row], start << 16 | n << 8 | off) for row, start, n, off, h, c in _row_runs(data, at, unit)]
+            if parts:
+                yield _combined(*(np.concatenate(c) for c in zip(*parts)))
 
-    found = docs.select("did", "t", "text").mapInArrow(emit, "h bigint, v bigint, did bigint, t bigint, pack bigint")
+    found = docs.select("did", "t", "text").mapInArrow(emit, "h bigint, v bigint, did bigint, t bigint, pack bigint, sure boolean")
     order = W.partitionBy("h").orderBy("v", "did", "t", "pack")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     same = W.partitionBy("h", "v").orderBy("did", "t", "pack")
     place = F.struct("did", "t", "pack")
     judged = found.select(
         "h", "did", "t", "pack",
-        (F.first(place).over(same) != place).alias("dup"),
+        (F.col("sure") | (F.first(place).over(same) != place)).alias("dup"),
         (F.first("v").over(whole) != F.last("v").over(whole)).alias("mixed"),
         F.row_number().over(same).alias("nth"),
         F.sum(F.when(F.coalesce(F.lag("v").over(order) != F.col("v"), F.lit(True)), 1).otherwise(0)).over(whole).alias("kinds"),
@@ -244,6 +245,37 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
     return sure.unionByName(compared).unionByName(frequent)
 
 
+def _combined(h: np.ndarray, v: np.ndarray, did: np.ndarray, t: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
+    """Runs of a batch, with those that stand earlier in the batch itself marked as sure repeats.
+
+    A sure repeat needs no comparison any more: it travels under a key of its own, so that of a frequent run
+    one row per batch meets the others. Neighbouring ones of a document travel as one.
+    """
+    order = np.lexsort((pack, t, did, v, h))
+    h, v, did, t, pack = h[order], v[order], did[order], t[order], pack[order]
+    head = np.concatenate([[True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    sure = (did != did[first]) | (t != t[first]) | (pack != pack[first])
+    rest = ~sure
+    d, u, k = did[sure], t[sure], pack[sure]
+    order = np.lexsort((k, u, d))
+    d, u, start, n = d[order], u[order], k[order] >> 16, k[order] >> 8 & 255
+    if len(d):
+        # windows are counted in eight bits, so a joined run is cut anew into runs of that size
+        end = start + n
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (start[1:] != end[:-1])])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(d)) - 1
+        d, u, start, n = d[at], u[at], start[at], end[last] - start[at]
+        cuts = -(-n // 255)
+        row = np.repeat(np.arange(len(n)), cuts)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        d, u, start, n = d[row], u[row], start[row] + 255 * piece, np.minimum(n[row] - 255 * piece, 255)
+    own = mix(d.astype(np.uint64) + mix(start.astype(np.uint64) + U(1))).view(np.int64)
+    columns = [np.concatenate(c) for c in ((h[rest], own), (v[rest], own), (did[rest], d), (t[rest], u), (pack[rest], start << 16 | n << 8))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) >= rest.sum())], ["h", "v", "did", "t", "pack", "sure"])
+
+
 def _cutter(unit: Unit):
     """Contents of the runs asked for; for hot anchors a row per window with two hashes of it instead."""
 

@@ -188,7 +188,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
 
 def _verified(docs: DataFrame, text: str, members: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(node, links, tie, crossed): a row for each node and pair of blocks in which it was verified."""
+    """(node, links, tie, crossed): a row for each node and pair of blocks in which it was verified; crossed if its group has several blocks."""
     body = docs.select(text_bytes(text).alias("text"))
     held = body.select(node_of("text").alias("node"), "text").join(members, "node")
 
@@ -203,39 +203,39 @@ def _verified(docs: DataFrame, text: str, members: DataFrame, similarity: tuple[
             own = (node % blocks).astype(np.int64)
             row = np.repeat(np.arange(len(node)), blocks)
             other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(root[row]), pa.array(np.minimum(own[row], other)), pa.array(np.maximum(own[row], other)), pa.array(own[row]), pa.array(node[row]), pa.array(out, pa.binary()).take(pa.array(row))], ["root", "b1", "b2", "own", "node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(root[row]), pa.array(np.minimum(own[row], other)), pa.array(np.maximum(own[row], other)), pa.array(own[row]), pa.array(node[row]), pa.array(out, pa.binary()).take(pa.array(row)), pa.array(blocks[row] > 1)], ["root", "b1", "b2", "own", "node", "set", "many"])
 
-    once = held.select("node", "root", "blocks", "text").mapInArrow(shingles, "root bigint, b1 bigint, b2 bigint, own bigint, node bigint, set binary")
+    once = held.select("node", "root", "blocks", "text").mapInArrow(shingles, "root bigint, b1 bigint, b2 bigint, own bigint, node bigint, set binary, many boolean")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int, bytes]] = []
-        key, many = None, []
+        key, split, done = None, False, []
 
-        def solve(key, group):
+        def solve(key, group, split):
             nodes = np.array([g[1] for g in group])
             left = np.array([g[0] for g in group]) == key[1]
             links, root = verify([np.frombuffer(g[2], np.uint64) for g in group], left, similarity)
-            return nodes, links.astype(np.int64), nodes[root], np.full(len(nodes), key[1] != key[2])
+            return nodes, links.astype(np.int64), nodes[root], np.full(len(nodes), split)
 
         def batch_of(parts):
             a, b, c, d = (np.concatenate(x) for x in zip(*parts))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), pa.array(d)], ["node", "links", "tie", "crossed"])
 
         for batch in batches:
-            for r, b1, b2, own, node, values in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for r, b1, b2, own, node, values, many in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if (r, b1, b2) != key:
                     if group:
-                        many.append(solve(key, group))
-                        if len(many) > 2000:
-                            yield batch_of(many)
-                            many = []
-                    key, group = (r, b1, b2), []
+                        done.append(solve(key, group, split))
+                        if len(done) > 2000:
+                            yield batch_of(done)
+                            done = []
+                    key, group, split = (r, b1, b2), [], many
                 if not group or group[-1][1] != node:  # copies of a text come one after another
                     group.append((own, node, values))
         if group:
-            many.append(solve(key, group))
-        if many:
-            yield batch_of(many)
+            done.append(solve(key, group, split))
+        if done:
+            yield batch_of(done)
 
     dealt = once.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2", "node")
     return dealt.mapInArrow(check, "node bigint, links bigint, tie bigint, crossed boolean")
@@ -249,7 +249,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = jaccard_join(docs, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
     winners = rows.groupBy("root").agg(F.min(order).alias("_w")).select(F.col("_w.doc_id").alias("_id"), F.col("_w.node").alias("_node"))
-    own = docs.withColumn("_n", node_of(text_bytes(text)))
-    met = own.join(winners.hint("shuffle_hash"), (F.col("_n") == F.col("_node")) & F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")))
-    first = met.withColumn("_k", F.row_number().over(W.partitionBy("_n", "_id").orderBy("_node")))
-    return first.filter("_k = 1").select(*[docs[c] for c in docs.columns])
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), node_of(text_bytes(text)).alias("name"), F.col(doc_id).cast("bigint").alias("key"))
+    met = own.join(winners.hint("shuffle_hash"), (F.col("name") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_id")))
+    first = met.withColumn("nth", F.row_number().over(W.partitionBy("name", "key").orderBy("_node")))
+    return first.filter("nth = 1").select("row.*")

@@ -131,10 +131,10 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     verdicts = bad.select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
     if bad.limit(FEW_HOSTS + 1).count() <= FEW_HOSTS:
         verdicts = F.broadcast(verdicts)
-    keep = _measure_udf(text_bytes(text))
-    base, mild = _rules({f: F.col(f"_m.{f}") for f in FIELDS})
-    rows = docs.withColumn("_m", keep).join(verdicts, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-    return rows.filter(~base & ~(F.coalesce("_bad", F.lit(False)) & mild)).select(*[docs[c] for c in docs.columns])
+    base, mild = _rules({f: F.col(f"counts.{f}") for f in FIELDS})
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _measure_udf(text_bytes(text)).alias("counts"), F.col(host).cast("string").alias("own"))
+    rows = rows.filter(~base).join(verdicts, F.col("own").eqNullSafe(F.col("_host")), "left")
+    return rows.filter(~(F.coalesce("_bad", F.lit(False)) & mild)).select("row.*")
 
 
 ORACLE = r"""

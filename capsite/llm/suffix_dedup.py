@@ -26,8 +26,11 @@ GRAM = 16
 SHARD = 4 << 20
 
 
-def suffix_order(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of x and its inverse, exact to at least ``depth`` items; suffixes past the end rank lowest."""
+def suffix_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of x (items below 512) and its inverse; what lies past the end ranks lowest.
+
+    The order is complete: Kasai's rule needs the forerunners of neighbouring places to be in true order.
+    """
     n = len(x)
     wide = np.concatenate([x.astype(np.uint64), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
@@ -41,7 +44,7 @@ def suffix_order(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(head)
         size = np.diff(np.append(starts, n))
         rank[sa] = np.repeat(starts, size)  # the number of a group is the place at which it begins
-        if h >= depth or len(starts) == n:
+        if len(starts) == n:
             break
         places = np.flatnonzero(np.repeat(size > 1, size))
         suffix = sa[places]
@@ -94,7 +97,7 @@ def _shard(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     inside[0] = False
     inside[start + length] = False
     x[inside] += 1  # zero stands between contents only
-    sa, inverse = suffix_order(x, window)
+    sa, inverse = suffix_order(x)
     lcp = common_prefixes(x, sa, inverse, start, length, window)
     group = np.cumsum(lcp < window)
     n = length - window + 1
