@@ -48,8 +48,8 @@ def signed_runs(runs: DataFrame, expand: bool = True) -> DataFrame:
     """
     plus = F.col("score") > 0
     first, last = F.col("start0") + 1, F.col("end")
-    pos = F.explode(F.sequence(first, last)) if expand else F.when(plus, first).otherwise(last)
-    return runs.filter((F.col("score") != 0) & (F.col("end") > F.col("start0"))).select("sample", "chr", pos.cast("bigint").alias("pos"), F.when(plus, "+").otherwise("-").alias("strand"), F.abs("score").cast("double").alias("tags"))
+    pos = F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))) if expand else F.when(plus, first).otherwise(last).cast("bigint")
+    return runs.filter((F.col("score") != 0) & (F.col("end") > F.col("start0"))).select("sample", "chr", pos.alias("pos"), F.when(plus, "+").otherwise("-").alias("strand"), F.abs("score").cast("double").alias("tags"))
 
 
 def read_bedgraph(spark: SparkSession, files: list[str], samples: list[str], expand: bool = True) -> DataFrame:
