@@ -194,6 +194,7 @@ def _verified(docs: DataFrame, text: str, members: DataFrame, similarity: tuple[
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.unique(np.asarray(batch.column(0)), return_index=True)[1]))  # one of the copies does
             data, at = flat(batch.column(3))
             out: list[bytes] = []
             for i, j in pieces(at):
