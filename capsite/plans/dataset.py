@@ -1,4 +1,7 @@
-"""An immutable, lazily evaluated data set: each verb returns a new one."""
+"""An immutable, lazily evaluated data set: each verb returns a new one.
+
+Clusters, consensus clusters and annotation are persisted, as later verbs use them several times.
+"""
 from __future__ import annotations
 
 import os
@@ -102,11 +105,11 @@ class TssDataset:
 
     def cluster(self, **options) -> TssDataset:
         self._need("signal")
-        return replace(self, clusters=cl.tag_clusters(self.signal, **options))
+        return replace(self, clusters=cl.tag_clusters(self.signal, **options).persist())
 
     def consensus_cluster(self, dis: int = 50) -> TssDataset:
         self._need("signal", "clusters")
-        return replace(self, consensus=co.consensus_clusters(self.signal, self.clusters, self.labels, dis))
+        return replace(self, consensus=co.consensus_clusters(self.signal, self.clusters, self.labels, dis).persist())
 
     def _chosen(self, which: str) -> DataFrame:
         if which not in ("consensusClusters", "tagClusters"):
@@ -120,7 +123,7 @@ class TssDataset:
 
     def annotate(self, clusters: str = "consensusClusters", filter_cluster: bool = True, filter_threshold: float = 0.02, **options) -> TssDataset:
         self._need("genes")
-        done = an.annotate(self._chosen(clusters), self.genes, in_coding=filter_cluster, **options)
+        done = an.annotate(self._chosen(clusters), self.genes, in_coding=filter_cluster, **options).persist()
         return replace(self, annotated=done, filtered=an.filter_downstream(done, filter_threshold) if filter_cluster else None)
 
     def call_enhancers(self, flanking: int = 400, dis2gene: int = 2000) -> TssDataset:
