@@ -31,6 +31,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Different contents of one anchor beyond which it is compared by window hashes.
 HOT = 5_000
+#: Sure repeats that share a key of the exchange.
+TOGETHER = 256
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -230,7 +232,7 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
         F.row_number().over(same).alias("nth"),
         F.sum(F.when(F.coalesce(F.lag("v").over(order) != F.col("v"), F.lit(True)), 1).otherwise(0)).over(whole).alias("kinds"),
     ).filter(F.col("dup") | (F.col("mixed") & (F.col("nth") == 1)))
-    judged = staged(judged.select("h", "did", "t", "pack", "dup", (F.col("kinds") > hot).alias("hot")), "runs")
+    judged = staged(judged.select(F.when(~F.col("dup"), F.col("h")).alias("h"), "did", "t", "pack", "dup", (F.col("kinds") > hot).alias("hot")), "runs")
     first = F.shiftright("pack", 16)
     count = F.shiftright("pack", 8).bitwiseAND(255)
     sure = judged.filter("dup").select("did", "t", first.alias("s"), (first + count + (w - 1)).alias("e"))
@@ -248,15 +250,15 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
 def _combined(h: np.ndarray, v: np.ndarray, did: np.ndarray, t: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
     """Runs of a batch, with those that stand earlier in the batch itself marked as sure repeats.
 
-    A sure repeat needs no comparison any more: it travels under a key of its own, so that of a frequent run
-    one row per batch meets the others. Neighbouring ones of a document travel as one.
+    A sure repeat needs no comparison any more: TOGETHER of them travel under a key of their own, so that of a
+    frequent run one row per batch meets the others. Neighbouring ones of a document travel as one.
     """
     order = np.lexsort((pack, t, did, v, h))
-    h, v, did, t, pack = h[order], v[order], did[order], t[order], pack[order]
-    head = np.concatenate([[True], (h[1:] != h[:-1]) | (v[1:] != v[:-1])])
-    first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+    head = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (v[order[1:]] != v[order[:-1]])])
+    first = np.empty(len(h), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
     sure = (did != did[first]) | (t != t[first]) | (pack != pack[first])
-    rest = ~sure
+    rest = ~sure  # in the order of documents, in which neighbours have much in common
     d, u, k = did[sure], t[sure], pack[sure]
     order = np.lexsort((k, u, d))
     d, u, start, n = d[order], u[order], k[order] >> 16, k[order] >> 8 & 255
@@ -272,7 +274,8 @@ def _combined(h: np.ndarray, v: np.ndarray, did: np.ndarray, t: np.ndarray, pack
         piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         d, u, start, n = d[row], u[row], start[row] + 255 * piece, np.minimum(n[row] - 255 * piece, 255)
     own = mix(d.astype(np.uint64) + mix(start.astype(np.uint64) + U(1))).view(np.int64)
-    columns = [np.concatenate(c) for c in ((h[rest], own), (v[rest], own), (did[rest], d), (t[rest], u), (pack[rest], start << 16 | n << 8))]
+    own = np.repeat(own[::TOGETHER], TOGETHER)[: len(own)]
+    columns = [np.concatenate(c) for c in ((h[rest], own), (v[rest], np.zeros_like(own)), (did[rest], d), (t[rest], u), (pack[rest], start << 16 | n << 8))]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) >= rest.sum())], ["h", "v", "did", "t", "pack", "sure"])
 
 
