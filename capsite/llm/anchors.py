@@ -31,6 +31,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Different contents of one anchor beyond which it is compared by window hashes.
 HOT = 5_000
+#: Marks the runs of such anchors in their packed place.
+HOT_BIT = 1 << 62
 #: Sure repeats that share a key of the exchange.
 TOGETHER = 256
 _powers: dict[str, np.ndarray] = {}
@@ -236,7 +238,7 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
     first = F.shiftright("pack", 16)
     count = F.shiftright("pack", 8).bitwiseAND(255)
     sure = judged.filter("dup").select("did", "t", first.alias("s"), (first + count + (w - 1)).alias("e"))
-    asked = judged.filter(~F.col("dup")).groupBy("did", "t").agg(F.collect_list(F.struct("h", "pack", "hot")).alias("asked"))
+    asked = judged.filter(~F.col("dup")).groupBy("did", "t").agg(F.collect_list(F.struct("h", F.when(F.col("hot"), F.col("pack").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("pack")).alias("pack"))).alias("asked"))
     held = docs.join(asked.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked")
     cut = held.mapInArrow(_cutter(unit), "h bigint, g bigint, did bigint, t bigint, pack bigint, content binary")
     usual = cut.filter(F.col("content").isNotNull()).repartition("h").sortWithinPartitions("h", "did", "t", "pack")
@@ -297,11 +299,12 @@ def _cutter(unit: Unit):
                 items = text if unit.kind == "bytes" else text.split()
                 spans = None
                 for r in asked:
-                    start, n = r["pack"] >> 16, r["pack"] >> 8 & 255
-                    if not r["hot"]:
+                    pack = r["pack"] & ~HOT_BIT
+                    start, n = pack >> 16, pack >> 8 & 255
+                    if pack == r["pack"]:
                         piece = items[start : start + n + unit.window - 1]
                         size += 200
-                        for c, x in zip(out, (r["h"], 0, did, t, r["pack"], piece if unit.kind == "bytes" else b" ".join(piece))):
+                        for c, x in zip(out, (r["h"], 0, did, t, pack, piece if unit.kind == "bytes" else b" ".join(piece))):
                             c.append(x)
                         continue
                     if spans is None:
@@ -381,10 +384,12 @@ def _resolved(unit: Unit, resolver: Resolver, block: int = PIECE):
     return resolve
 
 
-def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of a document's stretches; those that touch become one."""
+def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
+    """Maximal runs of a document's stretches as with_spans() packs them; those that touch become one."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for x in sorted(spans or ()):
+        s = x >> 16
+        e = s + (x & 0xFFFF)
         if out and s <= out[-1][1]:
             if e > out[-1][1]:
                 out[-1] = out[-1][0], e
@@ -394,6 +399,10 @@ def merged_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs of keyed() with the stretches to remove as ``spans``; shares the exchange of docs with repeats()."""
-    per_doc = spans.groupBy("did", "t").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    """docs of keyed() with the stretches to remove as ``spans``; shares the exchange of docs with repeats().
+
+    A stretch lies within one run, so it is short: start << 16 | length.
+    """
+    packed = F.shiftleft("s", 16).bitwiseOR(F.col("e") - F.col("s"))
+    per_doc = spans.groupBy("did", "t").agg(F.collect_list(packed).alias("spans"))
     return docs.join(per_doc.hint("shuffle_hash"), ["did", "t"], "left")
