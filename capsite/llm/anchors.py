@@ -206,10 +206,12 @@ def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataF
 Resolver = Callable[[list[bytes], np.ndarray], np.ndarray]
 
 
-def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = None) -> DataFrame:
+def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = None, along: str = "doc_id") -> DataFrame:
     """(did, t, s, e): stretches [s, e) of items covered by windows that also start earlier.
 
     docs: the frame of keyed(). Earlier means smaller (did, t, start). resolver: see _resolved.
+    along: the column that the caller reads from with_spans() beside the text. The join that looks contents up
+    keeps it as well, so that both joins need the same columns and one exchange of the texts serves both.
     """
     hot = HOT if hot is None else hot
     w = unit.window
@@ -239,7 +241,7 @@ def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = N
     count = F.shiftright("pack", 8).bitwiseAND(255)
     sure = judged.filter("dup").select("did", "t", first.alias("s"), (first + count + (w - 1)).alias("e"))
     asked = judged.filter(~F.col("dup")).groupBy("did", "t").agg(F.collect_list(F.struct("h", F.when(F.col("hot"), F.col("pack").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("pack")).alias("pack"))).alias("asked"))
-    held = docs.join(asked.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked")
+    held = docs.join(asked.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked", along)
     cut = held.mapInArrow(_cutter(unit), "h bigint, g bigint, did bigint, t bigint, pack bigint, content binary")
     usual = cut.filter(F.col("content").isNotNull()).repartition("h").sortWithinPartitions("h", "did", "t", "pack")
     compared = usual.mapInArrow(_resolved(unit, resolver), "did bigint, t bigint, s bigint, e bigint")
@@ -399,8 +401,9 @@ def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs of keyed() with the stretches to remove as ``spans``; shares the exchange of docs with repeats().
+    """docs of keyed() with the stretches to remove as ``spans``.
 
+    Shares the exchange of docs with repeats() if the text and the column named there are all that is read.
     A stretch lies within one run, so it is short: start << 16 | length.
     """
     packed = F.shiftleft("s", 16).bitwiseOR(F.col("e") - F.col("s"))

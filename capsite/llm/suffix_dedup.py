@@ -188,7 +188,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Parts of characters at the seams are dropped. Where there is a column of lengths it is brought up to date.
     """
     rows = an.keyed(docs, doc_id, text, carry=True)
-    found = an.with_spans(rows, an.repeats(rows, an.Unit("bytes", window, GRAM), resolver(window)))
+    found = an.with_spans(rows, an.repeats(rows, an.Unit("bytes", window, GRAM), resolver(window), along="rest"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
