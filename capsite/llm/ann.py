@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-A unit vector is turned by pseudo-random rotations (sign flips and fast Hadamard transforms, three times)
-and assigned to the nearest signed axis, of which there are twice the padded dimension. Each of TABLES
-tables has rotations of its own. A query looks into the PROBES axes nearest to it in every table; what it
-finds is ranked exactly in double precision. Vectors of other than unit length are first given one more
-component that brings all to the largest length, so that nearness on the sphere follows the inner product.
+The direction of a vector is turned by pseudo-random rotations (sign flips and fast Hadamard transforms, three
+times) and assigned to the nearest signed axis, of which there are twice the padded dimension. Each of TABLES
+tables has rotations of its own. A query looks into the axes nearest to it in every table, PROBES for each 64
+of padded dimension (so that the share of axes does not fall as the dimension grows); what it finds is ranked
+exactly in double precision. Lengths are kept out of the hash: vectors above the LONG quantile of lengths form
+a band of their own, which every query meets whole, as the longest win over many directions. A query for which
+fewer than ENOUGH candidates turn up meets all vectors of its dimension.
 
 Equal vectors form a class that is hashed and ranked once and stands for its least ids. Buckets are cut into
 blocks of bounded size by a hash of the class; a query meets every block of a bucket it probes.
@@ -21,10 +23,17 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import FloatType
 
 from capsite.llm.common import staged
 
-TABLES, PROBES = 16, 6
+TABLES, PROBES = 16, 9
+#: Vectors longer than this share of the others are met whole; lengths this near to it count as equal.
+LONG, SAME = 0.9, 1e-4
+#: Candidates, in multiples of k + 1, below which a query meets everything.
+ENOUGH = 5
+#: Numbers that stand for a table: the band of long vectors, and all vectors.
+LONGEST, ALL = -1, -2
 #: Candidates, and queries, of one block of a bucket.
 BLOCK = 4096
 SALTS = 16
@@ -73,65 +82,79 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, keep: int) -> tuple
 
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
+    kind = "array<float>" if isinstance(vectors.schema[embedding].dataType.elementType, FloatType) else "array<double>"
     rows, grouped = classes(vectors, vec_id, embedding, k + 1)
     asked = rows.filter(F.col("id") % every == 0).select("id", "key").distinct()
     grouped = grouped.join(asked.select("key").distinct().withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    grouped = staged(grouped.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "vectors")
-    span = {r["d"]: (r["hi"] ** 0.5, r["lo"] ** 0.5) for r in grouped.groupBy(F.size("v").alias("d")).agg(F.max("norm2").alias("hi"), F.min("norm2").alias("lo")).collect()}
+    grouped = staged(grouped.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).withColumn("v", F.col("v").cast(kind)), "vectors")
+    span = grouped.groupBy(F.size("v").alias("d")).agg(F.percentile_approx("norm2", LONG, 10_000).alias("most"), F.max("norm2").alias("hi")).collect()
+    most = {r["d"]: r["most"] * (1 + SAME) for r in span}
+    banded = {r["d"] for r in span if r["hi"] > r["most"] * (1 + SAME)}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.asarray(pc.list_value_length(batch.column(1)))
-            for d in np.unique(size):
-                pick = np.flatnonzero(size == d)
-                part = batch.take(pa.array(pick))
-                x = np.asarray(part.column(1).flatten()).reshape(len(pick), d)
-                high, low = span[int(d)]
-                same = high - low < 1e-4 * high
+            for d in map(int, np.unique(size)):
+                part = batch.take(pa.array(np.flatnonzero(size == d)))
                 asks = np.asarray(part.column(3).to_numpy(zero_copy_only=False))
-                up = _lift(x, high, False, same)
-                down = _lift(x[asks], high, True, same)
+                far = np.asarray(part.column(4)) > most[d]
+                wanted, near = part.filter(pa.array(asks)), part.filter(pa.array(~far))
+                if d in banded:
+                    for some, wants in ((part.filter(pa.array(far)), False), (wanted, True)):
+                        yield _rows(some, d, LONGEST, np.zeros(some.num_rows), wants)
+                x = _directions(np.asarray(part.column(1).flatten()).reshape(part.num_rows, d))
+                count = min(max(probes, -(-probes * x.shape[1] // 64)), 2 * x.shape[1])
                 for t in range(tables):
-                    code = axes(up, t, 1)[:, 0]
-                    yield _rows(part, d, t, code, False)
-                    if len(down):
-                        wanted = part.filter(pa.array(asks))
-                        near = axes(down, t, min(probes, 2 * down.shape[1]))
-                        row = np.repeat(np.arange(len(down)), near.shape[1])
-                        yield _rows(wanted.take(pa.array(row)), d, t, near.ravel(), True)
-
-    fields = "d bigint, tab bigint, code bigint, asks boolean, key bigint, v array<double>, least bigint"
-    placed = grouped.select("key", "v", F.col("ids")[0].alias("least"), "asks").mapInArrow(hashed, fields)
-    bucket = ["d", "tab", "code"]
-    # A row per bucket: twice the dimension for each table.
-    counts = placed.groupBy(*bucket).agg((F.count_if("asks") / block).alias("q"), (F.count_if(~F.col("asks")) / block).alias("c"))
-    counts = staged(counts.select(*bucket, F.greatest(F.ceil("q"), F.lit(1)).cast("bigint").alias("qb"), F.greatest(F.ceil("c"), F.lit(1)).cast("bigint").alias("cb")), "buckets")
-    sized = placed.join(F.broadcast(counts), bucket) if counts.count() <= 100_000 else placed.join(counts, bucket)
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("asks"), F.col("qb")).otherwise(F.col("cb")))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("asks"), F.col("cb")).otherwise(F.col("qb")) - 1))
-    dealt = sized.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumn("qi", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))).withColumn("ci", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
+                    yield _rows(near, d, t, axes(x[~far], t, 1)[:, 0], False)
+                    if wanted.num_rows:
+                        for code in axes(x[asks], t, count).T:
+                            yield _rows(wanted, d, t, code, True)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
         if asks.all() or not asks.any():
             return pd.DataFrame({"q": [], "c": [], "least": [], "score": []}).astype({"q": "int64", "c": "int64", "least": "int64", "score": "float64"})
-        q, c = pdf[asks], pdf[~asks]
-        x = np.stack(c["v"].to_numpy())
-        y = np.stack(q["v"].to_numpy())
-        low, names = c["least"].to_numpy(), c["key"].to_numpy()
-        order = np.argsort(low, kind="stable")
-        x, low, names = x[order], low[order], names[order]
-        score = np.zeros((len(y), len(x)))
-        for i in range(x.shape[1]):  # one component after another: equal pairs get equal sums in every bucket
-            score += y[:, i : i + 1] * x[:, i]
+        q, c = pdf[asks], pdf[~asks].sort_values("least")
+        x, y = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (c, q))
         m = min(k + 1, len(x))
-        top = np.argsort(-score, 1, kind="stable")[:, :m]
-        return pd.DataFrame({"q": np.repeat(q["key"].to_numpy(), m), "c": names[top].ravel(), "least": low[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
-
-    pairs = dealt.groupBy(*bucket, "qi", "ci").applyInPandas(search, "q bigint, c bigint, least bigint, score double")
-    pairs = pairs.dropDuplicates(["q", "c"])
-    best = pairs.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "least"))).filter(F.col("n") <= k + 1)
+        rough = y @ x.T
+        least = np.partition(rough, len(x) - m, 1)[:, len(x) - m]
+        # more than what rounding may move
+        slack = 1e-12 * x.shape[1] * np.sqrt((y * y).sum(1) * (x * x).sum(1).max())
+        i, j = np.nonzero(~(rough < (least - slack)[:, None]))
+        score = np.zeros(len(i))
+        for a in range(x.shape[1]):  # one component after another: equal pairs get equal sums in every bucket
+            score += y[i, a] * x[j, a]
+        order = np.lexsort((j, -score, i))
+        order = order[np.arange(len(i)) - np.searchsorted(i, i) < m]
+        i, j = i[order], j[order]
+        return pd.DataFrame({"q": q["key"].to_numpy()[i], "c": c["key"].to_numpy()[j], "least": c["least"].to_numpy()[j], "score": score[order]})
+
+    def ranked(placed: DataFrame, keep: int) -> DataFrame:
+        """(q, c, least, score, n): the ``keep`` best that each query meets in its buckets."""
+        bucket = ["d", "tab", "code"]
+        # A row per bucket: twice the padded dimension for each table.
+        counts = placed.groupBy(*bucket).agg((F.count_if("asks") / block).alias("q"), (F.count_if(~F.col("asks")) / block).alias("c"))
+        counts = staged(counts.select(*bucket, F.greatest(F.ceil("q"), F.lit(1)).cast("bigint").alias("qb"), F.greatest(F.ceil("c"), F.lit(1)).cast("bigint").alias("cb")), "buckets")
+        sized = placed.join(F.broadcast(counts), bucket) if counts.count() <= 100_000 else placed.join(counts, bucket)
+        own = F.pmod(F.xxhash64("key"), F.when(F.col("asks"), F.col("qb")).otherwise(F.col("cb")))
+        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("asks"), F.col("cb")).otherwise(F.col("qb")) - 1))
+        dealt = sized.withColumn("own", own).withColumn("other", other)
+        dealt = dealt.withColumn("qi", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))).withColumn("ci", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
+        pairs = dealt.groupBy(*bucket, "qi", "ci").applyInPandas(search, "q bigint, c bigint, least bigint, score double").dropDuplicates(["q", "c"])
+        return pairs.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "least"))).filter(F.col("n") <= keep)
+
+    fields = f"d bigint, tab bigint, code bigint, asks boolean, key bigint, v {kind}, least bigint"
+    best = ranked(grouped.select("key", "v", F.col("ids")[0].alias("least"), "asks", "norm2").mapInArrow(hashed, fields), ENOUGH * (k + 1))
+    best = staged(best, "best")
+    enough = best.filter(F.col("n") == ENOUGH * (k + 1)).select(F.col("q").alias("key"))
+    short = staged(grouped.filter("asks").join(enough, "key", "left_anti").select("key", "v", "ids"), "short")
+    best = best.filter(F.col("n") <= k + 1)
+    sizes = [r["d"] for r in short.select(F.size("v").alias("d")).distinct().collect()]
+    if sizes:
+        every_one = grouped.filter(F.size("v").isin(sizes)).withColumn("asks", F.lit(False)).select("key", "v", "ids", "asks").unionByName(short.withColumn("asks", F.lit(True)))
+        every_one = every_one.select(F.size("v").cast("bigint").alias("d"), F.lit(ALL).cast("bigint").alias("tab"), F.lit(0).cast("bigint").alias("code"), "asks", "key", "v", F.col("ids")[0].alias("least"))
+        best = best.join(short.select(F.col("key").alias("q")), "q", "left_anti").unionByName(ranked(every_one, k + 1))
     answers = best.join(grouped.select(F.col("key").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     answers = answers.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("n") <= k + 1)
     listed = answers.groupBy("q").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))
@@ -141,16 +164,13 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
 
 
-def _lift(x: np.ndarray, longest: float, query: bool, same: bool) -> np.ndarray:
-    """Rows on the unit sphere, padded to a power of two; lengths that differ take one component more."""
+def _directions(x: np.ndarray) -> np.ndarray:
+    """Rows brought to length one, padded to a power of two."""
     n, d = x.shape
-    need = d if same else d + 1
-    width = 1 << (need - 1).bit_length()
-    out = np.zeros((n, width))
-    out[:, :d] = x / longest
-    if not same and not query:
-        out[:, d] = np.sqrt(np.maximum(1 - (out * out).sum(1), 0))
-    return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
+    out = np.zeros((n, 1 << (d - 1).bit_length()))
+    # the largest component first: squares may overflow
+    out[:, :d] = x / np.abs(x).max(1, keepdims=True).astype(np.float64)
+    return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
 def _rows(part: pa.RecordBatch, d: int, table: int, code: np.ndarray, asks: bool) -> pa.RecordBatch:

@@ -139,6 +139,27 @@ def test_nearest_small(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("case", ["one long", "lognormal", "wide", "few"])
+def test_nearest_lengths(spark, case):
+    n, d = {"wide": (900, 100), "few": (15, 64)}.get(case, (900, 64))
+    x = np.random.default_rng(4).normal(size=(n, d))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    if case == "one long":
+        x[7] *= 20
+    elif case == "lognormal":
+        x *= np.random.default_rng(3).lognormal(0, 0.5, (n, 1)).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")).collect()
+    score = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(score, -np.inf)
+    found, hit, k = {}, 0, min(20, n - 1)
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, n, 20):
+        assert len(found[q]) == len(set(found[q])) == k
+        hit += len(set(found[q]) & set(np.argsort(-score[q])[:k].tolist()))
+    assert hit >= (1 if case == "few" else 0.95) * k * len(range(0, n, 20))
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/x", "https://example.net/fr/x", "http://notexample.com/de/1", "http://b.example.com/de/1", "http://b.org/fr/", "http://b.org/de/", None, "no scheme", "http://x.net", "http://ads-track.b.org/a/?utm_x=1", "https://www.ads-track.b.org/a", "https://m.ads-track.b.org/a.html?ref=q&utm_a=b#z", "ftp://c.org/x://y.net/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id bigint, url string, host int")
