@@ -7,6 +7,8 @@ is the volume of pieces that fit beside this one. At the end each bin is cut dow
 length that holds its contents. Shards hold about SHARD_TOKENS tokens, so only a shard's last bins are
 filled less well, and no task holds more than a shard.
 
+A token is a word, a run of other than ASCII white space; a text without white space is one token, however long.
+
 Defined cases: null and empty texts have no tokens and no rows; documents of equal size are taken by id,
 piece and text, within a shard; repeated rows are packed each for itself.
 """
