@@ -1,9 +1,9 @@
-"""Self join of documents by the Jaccard similarity of their five-word shingles, through a MinHash LSH forest.
+"""Self join of documents by the Jaccard similarity of their five-word shingles, through MinHash banding.
 
-Copies (equal texts) form one node. Each node has TREES signatures of DEPTH hashes. In a tree, nodes sorted
-by signature form a prefix trie; two nodes are candidates when they share a prefix. Matching starts at the
-full depth and the prefix is shortened until the chance that a pair at the threshold shares one in some tree
-reaches the target recall. Nodes that share a prefix are tied to the least of them, never to each other, and
+Copies (equal texts) form one node. Two nodes are candidates when they share all hashes of a band, one of
+TREES. A band's length is the longest up to DEPTH at which the chance that a pair at the threshold shares a
+band reaches the target recall: a closed formula, the same for all pairs, where a forest would shorten the
+prefixes of sorted signatures. Nodes that share a prefix are tied to the least of them, never to each other, and
 the connected groups of these ties gather all candidates of a pair. Within a group every pair is verified
 exactly: shingle sets are laid out as a matrix over the shingles they share, and counts of common shingles
 come from its product with itself, in blocks; blocks give numbers of links and one tie per node, not pairs.
