@@ -3,7 +3,8 @@
 A shard is a block of contents that share anchors (see anchors.py). It is sorted by Larsson-Sadakane
 refinement: ranks by a prefix of length h give ranks by 2h, and only groups that are not yet told apart are
 sorted again. Common prefixes of neighbours follow by Kasai's rule, all contents of the shard stepping
-together. An anchor that exceeds a shard is cut into several, whose sorted windows are merged by binary search.
+together. A block that exceeds a shard is cut into several, whose sorted windows are merged by binary search;
+at the default HOT of anchors.py and SHARD no block does.
 
 Defined cases: null text is empty; a text below the window length loses nothing; rows with the same id and
 text are one document (repeated in the result); different texts of one id are ordered by their hash; null
