@@ -1,15 +1,41 @@
-"""Peak clustering of a signal, as window functions that share one exchange on (sample, chr, strand)."""
+"""Peak clustering of a signal, as window functions that share one exchange on (sample, chr, strand, block).
+
+A block is a stretch of sites without a gap that no rule of the clustering reaches over, so blocks are
+independent and their number grows with the genome and the sites, not with samples and chromosomes only.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 AXIS = ["sample", "chr", "strand"]
+#: Bases of a bin; gaps are looked for within bins first, then between neighbouring ones.
+BIN = 1 << 20
 CLUSTER = ["sample", "cluster", "chr", "start", "end", "strand", "dominant_tss", "tags", "tags_dominant_tss", "q_0_1", "q_0_9", "interquantile_width"]
 
 
+def blocks(signal: DataFrame, reach: int) -> DataFrame:
+    """Adds block, the number of the stretch of sites without a gap of ``reach`` bases or more, and last_block of its axis.
+
+    Gaps within a bin come from a window over the bin's sites; a table of one row per bin joins the pieces up.
+    """
+    inside = W.partitionBy(*AXIS, "_bin").orderBy("pos")
+    gap = signal.withColumn("_bin", F.floor(F.col("pos") / BIN)).withColumn("_gap", (F.col("pos") - F.lag("pos").over(inside) >= reach).cast("bigint"))
+    cut = gap.withColumn("_n", F.coalesce(F.sum("_gap").over(inside), F.lit(0))).drop("_gap")
+    bins = cut.groupBy(*AXIS, "_bin").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.max("_n").alias("_m"))
+    along = W.partitionBy(*AXIS).orderBy("_bin")
+    bins = bins.withColumn("_o", F.coalesce((F.col("_a") - F.lag("_b").over(along) >= reach).cast("bigint"), F.lit(0)))
+    new = F.col("_m") + F.col("_o")
+    bins = bins.select(*AXIS, "_bin", (F.sum(new).over(along) - F.col("_m")).alias("_base"), F.sum(new).over(W.partitionBy(*AXIS)).alias("last_block"))
+    return cut.join(bins, [*AXIS, "_bin"]).withColumn("block", F.col("_base") + F.col("_n")).drop("_bin", "_n", "_base")
+
+
+def _apart(df: DataFrame) -> list[str]:
+    return [*AXIS, "block"] if "block" in df.columns else AXIS
+
+
 def mark_peaks(signal: DataFrame, peak_distance: int = 100) -> DataFrame:
     """Adds is_peak: the site is the lowest-positioned maximum among sites nearer than peak_distance."""
-    w = W.partitionBy(*AXIS).orderBy("pos")
+    w = W.partitionBy(*_apart(signal)).orderBy("pos")
     highest = F.max("tags").over(w.rangeBetween(-(peak_distance - 1), peak_distance - 1))
     before = F.max("tags").over(w.rangeBetween(-(peak_distance - 1), -1))
     return signal.withColumn("is_peak", (F.col("tags") == highest) & (before.isNull() | (before < F.col("tags"))))
@@ -17,26 +43,30 @@ def mark_peaks(signal: DataFrame, peak_distance: int = 100) -> DataFrame:
 
 def mark_local_noise(marked: DataFrame, peak_distance: int = 100, local_threshold: float = 0.02) -> DataFrame:
     """Adds kept: false for sites weaker than local_threshold times a peak up to peak_distance upstream."""
-    w = W.partitionBy(*AXIS).orderBy("pos")
+    w = W.partitionBy(*_apart(marked)).orderBy("pos")
     peak_tags = F.when(F.col("is_peak"), F.col("tags"))
     upstream = F.when(F.col("strand") == "+", F.max(peak_tags).over(w.rangeBetween(-peak_distance, 0))).otherwise(F.max(peak_tags).over(w.rangeBetween(0, peak_distance)))
     return marked.withColumn("_up", upstream).withColumn("kept", F.col("_up").isNull() | (F.col("tags") >= F.col("_up") * local_threshold)).drop("_up")
 
 
 def _members(signal: DataFrame, peak_distance: int, extension_distance: int, local_threshold: float) -> DataFrame:
-    """Sites inside a cluster, with its number within the axis as ``island``."""
-    w = W.partitionBy(*AXIS).orderBy("pos")
-    past, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
-    df = mark_local_noise(mark_peaks(signal, peak_distance), peak_distance, local_threshold)
-    # The last kept site of an axis joins no cluster unless it is a peak itself.
-    df = df.withColumn("live", F.col("kept") & (F.col("is_peak") | F.coalesce(F.max(F.when(F.col("kept"), 1)).over(ahead), F.lit(0)).eqNullSafe(1)))
+    """Sites inside a cluster, with its number within the block as ``island``."""
+    keys = [*AXIS, "block"]
+    w = W.partitionBy(*keys).orderBy("pos")
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    apart = blocks(signal, max(peak_distance + 1, extension_distance))
+    df = mark_local_noise(mark_peaks(apart, peak_distance), peak_distance, local_threshold)
+    # The last kept site of an axis joins no cluster unless it is a peak itself. A block's highest peak is
+    # always kept (or, with a threshold over 1, no peak is), so that site lies in the last block.
+    final = (F.col("block") == F.col("last_block")) & (F.col("pos") == F.max(F.when(F.col("kept"), F.col("pos"))).over(W.partitionBy(*keys)))
+    df = df.withColumn("live", F.col("kept") & (F.col("is_peak") | ~final))
     df = df.withColumn("_pos", F.last(F.when(F.col("live"), F.col("pos")), True).over(past)).withColumn("_peak", F.last(F.when(F.col("live"), F.col("is_peak")), True).over(past))
     opens = F.col("live") & (F.col("_pos").isNull() | (F.col("pos") - F.col("_pos") >= extension_distance) | (F.col("is_peak") & F.col("_peak")))
     df = df.withColumn("island", F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    own = W.partitionBy(*AXIS, "island")
+    own = W.partitionBy(*keys, "island")
     live_pos = F.when(F.col("live"), F.col("pos"))
     df = df.withColumn("_s", F.min(live_pos).over(own)).withColumn("_e", F.max(live_pos).over(own)).withColumn("_p", F.max(F.when(F.col("live") & F.col("is_peak"), 1)).over(own))
-    return df.filter((F.col("_p") == 1) & F.col("pos").between(F.col("_s"), F.col("_e"))).select(*AXIS, "island", "pos", "tags")
+    return df.filter((F.col("_p") == 1) & F.col("pos").between(F.col("_s"), F.col("_e"))).select(*keys, "island", "pos", "tags")
 
 
 def summarize(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,6 +101,6 @@ def tag_clusters(signal: DataFrame, method: str = "peakclu", peak_distance: int
         raise ValueError(f"unknown clustering method {method!r}")
     if min(peak_distance, extension_distance) < 1:
         raise ValueError("distances must be positive")
-    stats = summarize(_members(signal, peak_distance, extension_distance, local_threshold), [*AXIS, "island"])
+    stats = summarize(_members(signal, peak_distance, extension_distance, local_threshold), [*AXIS, "block", "island"])
     stats = stats.filter(F.col("tags") > cluster_threshold)
     return stats.withColumn("cluster", number(stats)).select(*CLUSTER)

@@ -94,8 +94,8 @@ BUILD: dict[str, Callable[[View], DataFrame]] = {
     "normalize_tpm": lambda v: sg.tpm(v.merged(), v.sizes()),
     "filter_poisson": lambda v: sg.filter_poisson(v.merged(), v.sizes(), CHROM_LENGTH * len(CHROMOSOMES)),
     "filter_tpm": lambda v: sg.filter_tpm(sg.tpm(v.merged(), v.sizes()), 60.0),
-    "peaks": lambda v: cl.mark_peaks(v.merged()).filter("is_peak").select(*SITE_ORDER),
-    "local_filter": lambda v: cl.mark_local_noise(cl.mark_peaks(v.merged()), 100, 0.2).filter("kept").select(*SITE_ORDER),
+    "peaks": lambda v: cl.mark_peaks(cl.blocks(v.merged(), 101)).filter("is_peak").select(*SITE_ORDER),
+    "local_filter": lambda v: cl.mark_local_noise(cl.mark_peaks(cl.blocks(v.merged(), 101)), 100, 0.2).filter("kept").select(*SITE_ORDER),
     "tag_clusters": lambda v: cl.tag_clusters(v.merged()),
     "cluster_quantiles": lambda v: v.clusters().select("sample", "cluster", "q_0_1", "q_0_9", "interquantile_width"),
     "consensus_ranges": lambda v: co.consensus_ranges(v.clusters(), MERGED),
