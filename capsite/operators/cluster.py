@@ -8,25 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 AXIS = ["sample", "chr", "strand"]
-#: Bases of a bin; gaps are looked for within bins first, then between neighbouring ones.
-BIN = 1 << 20
 CLUSTER = ["sample", "cluster", "chr", "start", "end", "strand", "dominant_tss", "tags", "tags_dominant_tss", "q_0_1", "q_0_9", "interquantile_width"]
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt to as many tasks as shuffles have: sites are few bytes but much work, so they are not to be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def blocks(signal: DataFrame, reach: int) -> DataFrame:
     """Adds block, the number of the stretch of sites without a gap of ``reach`` bases or more, and last_block of its axis.
 
-    Gaps within a bin come from a window over the bin's sites; a table of one row per bin joins the pieces up.
+    One linear pass over each axis, which holds at most a site per base; all further windows run by block.
     """
-    inside = W.partitionBy(*AXIS, "_bin").orderBy("pos")
-    gap = signal.withColumn("_bin", F.floor(F.col("pos") / BIN)).withColumn("_gap", (F.col("pos") - F.lag("pos").over(inside) >= reach).cast("bigint"))
-    cut = gap.withColumn("_n", F.coalesce(F.sum("_gap").over(inside), F.lit(0))).drop("_gap")
-    bins = cut.groupBy(*AXIS, "_bin").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.max("_n").alias("_m"))
-    along = W.partitionBy(*AXIS).orderBy("_bin")
-    bins = bins.withColumn("_o", F.coalesce((F.col("_a") - F.lag("_b").over(along) >= reach).cast("bigint"), F.lit(0)))
-    new = F.col("_m") + F.col("_o")
-    bins = bins.select(*AXIS, "_bin", (F.sum(new).over(along) - F.col("_m")).alias("_base"), F.sum(new).over(W.partitionBy(*AXIS)).alias("last_block"))
-    return cut.join(bins, [*AXIS, "_bin"]).withColumn("block", F.col("_base") + F.col("_n")).drop("_bin", "_n", "_base")
+    along = W.partitionBy(*AXIS).orderBy("pos")
+    gap = spread(signal, AXIS).withColumn("_gap", (F.col("pos") - F.lag("pos").over(along) >= reach).cast("bigint"))
+    whole = gap.withColumn("block", F.coalesce(F.sum("_gap").over(along.rowsBetween(W.unboundedPreceding, 0)), F.lit(0))).withColumn("last_block", F.coalesce(F.sum("_gap").over(W.partitionBy(*AXIS)), F.lit(0)))
+    return spread(whole.drop("_gap"), [*AXIS, "block"])
 
 
 def _apart(df: DataFrame) -> list[str]:
@@ -36,16 +34,16 @@ def _apart(df: DataFrame) -> list[str]:
 def mark_peaks(signal: DataFrame, peak_distance: int = 100) -> DataFrame:
     """Adds is_peak: the site is the lowest-positioned maximum among sites nearer than peak_distance."""
     w = W.partitionBy(*_apart(signal)).orderBy("pos")
-    highest = F.max("tags").over(w.rangeBetween(-(peak_distance - 1), peak_distance - 1))
-    before = F.max("tags").over(w.rangeBetween(-(peak_distance - 1), -1))
-    return signal.withColumn("is_peak", (F.col("tags") == highest) & (before.isNull() | (before < F.col("tags"))))
+    before, after = F.max("tags").over(w.rangeBetween(-(peak_distance - 1), -1)), F.max("tags").over(w.rangeBetween(1, peak_distance - 1))
+    higher = F.coalesce(before < F.col("tags"), F.lit(True)) & F.coalesce(after <= F.col("tags"), F.lit(True))
+    return signal.withColumn("is_peak", higher if peak_distance > 1 else F.lit(True))
 
 
 def mark_local_noise(marked: DataFrame, peak_distance: int = 100, local_threshold: float = 0.02) -> DataFrame:
     """Adds kept: false for sites weaker than local_threshold times a peak up to peak_distance upstream."""
-    w = W.partitionBy(*_apart(marked)).orderBy("pos")
-    peak_tags = F.when(F.col("is_peak"), F.col("tags"))
-    upstream = F.when(F.col("strand") == "+", F.max(peak_tags).over(w.rangeBetween(-peak_distance, 0))).otherwise(F.max(peak_tags).over(w.rangeBetween(0, peak_distance)))
+    downstream = F.when(F.col("strand") == "+", F.col("pos")).otherwise(-F.col("pos"))
+    w = W.partitionBy(*_apart(marked)).orderBy(downstream).rangeBetween(-peak_distance, 0)
+    upstream = F.max(F.when(F.col("is_peak"), F.col("tags"))).over(w)
     return marked.withColumn("_up", upstream).withColumn("kept", F.col("_up").isNull() | (F.col("tags") >= F.col("_up") * local_threshold)).drop("_up")
 
 
