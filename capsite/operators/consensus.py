@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from capsite.operators.cluster import CLUSTER, summarize
+from capsite.operators.cluster import CLUSTER, spread, summarize
 from capsite.operators.intervals import merge_intervals, overlaps, points_in_intervals
 
 KEYS = ["chr", "strand"]
@@ -47,4 +47,5 @@ def consensus_clusters(signal: DataFrame, clusters: DataFrame, samples: list[str
     own = clusters.select("sample", *KEYS, "dominant_tss", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     spans = points_in_intervals(own, ranges, KEYS, "dominant_tss", "r_start", "r_end").groupBy("sample", *KEYS, "consensus").agg(F.min("c_start").alias("s_start"), F.max("c_end").alias("s_end"))
     inside = points_in_intervals(signal, spans, ["sample", *KEYS], "pos", "s_start", "s_end")
-    return summarize(inside.select("sample", *KEYS, "consensus", "pos", "tags"), ["sample", *KEYS, "consensus"]).withColumnRenamed("consensus", "cluster").select(*CLUSTER)
+    keys = ["sample", *KEYS, "consensus"]
+    return summarize(spread(inside.select(*keys, "pos", "tags"), keys), keys).withColumnRenamed("consensus", "cluster").select(*CLUSTER)

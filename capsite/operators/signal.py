@@ -4,13 +4,15 @@ A signal is a long frame (sample, chr, pos, strand, tags) that holds positive ta
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from capsite.functions.stats import poisson_cutoff
 
 SITE = ["sample", "chr", "pos", "strand"]
 #: More samples than this are labelled by a join.
 MAP_LITERALS = 1_000
+#: Bases of a stretch of the genome.
+CHUNK = 10_000
 
 
 def count_ends(ends: DataFrame) -> DataFrame:
@@ -50,22 +52,50 @@ def five_prime_ends(reads: DataFrame) -> DataFrame:
     return reads.select("sample", "chr", end.cast("bigint").alias("pos"), "strand")
 
 
-def trim_uncoded_g(reads: DataFrame, bases: DataFrame, most: int = 10) -> DataFrame:
+def base_chunks(bases: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chr, chunk, seq, next_g, last_c) of (chr, pos, base) rows: upper-case stretches of the genome, gaps as N.
+
+    next_g is the first G behind the chunk and last_c the last C before it, so a search that leaves the chunk ends there.
+    """
+    at = F.col("pos") - 1
+    rows = bases.select("chr", F.floor(at / size).cast("bigint").alias("chunk"), (at % size).cast("int").alias("i"), F.upper("base").alias("base"))
+    letters = rows.groupBy("chr", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("i", "base"))).alias("m"), F.max("i").alias("n"))
+    return linked_chunks(letters.select("chr", "chunk", F.concat_ws("", F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.coalesce(F.col("m")[i], F.lit("N")))).alias("seq")), size)
+
+
+def linked_chunks(chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Adds next_g and last_c to (chr, chunk, seq); one row per chunk goes through the windows."""
+    start = F.col("chunk") * size
+    first_g, last_c = F.locate("G", F.col("seq")), F.length("seq") - F.locate("C", F.reverse("seq")) + 1
+    own = chunks.withColumn("_g", F.when(first_g > 0, start + first_g)).withColumn("_c", F.when(F.locate("C", F.col("seq")) > 0, start + last_c))
+    behind, before = W.partitionBy("chr").orderBy(F.col("chunk").desc()), W.partitionBy("chr").orderBy("chunk")
+    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    return own.withColumn("next_g", F.last("_g", True).over(past(behind))).withColumn("last_c", F.last("_c", True).over(past(before))).drop("_g", "_c")
+
+
+def trim_uncoded_g(reads: DataFrame, bases: DataFrame, size: int = CHUNK) -> DataFrame:
     """Moves the 5' end inwards over read Gs that the genome does not have (C on the minus strand's end).
 
-    bases: (chr, pos, base) of the genome. Trimming stops at the first G that the genome shares, at the
-    first other base, or after ``most`` bases; only reads that begin with the base are looked up.
+    bases: (chr, pos, base) of the genome, or chunks of it as base_chunks() gives. Trimming stops at the first
+    G that the genome shares or at the end of the read's run of Gs, however long: the end moves by the shorter
+    of the run and the way to the next G of the genome. Only reads that begin with the base meet the genome,
+    each one chunk of it.
     """
     plus = F.col("strand") == "+"
-    lead = F.least(F.length(F.when(plus, F.regexp_extract("seq", "^(G*)", 1)).otherwise(F.regexp_extract("seq", "(C*)$", 1))), F.lit(most))
-    keyed = reads.withColumn("_id", F.monotonically_increasing_id()).withColumn("_lead", lead)
-    still = keyed.filter(F.col("_lead") == 0).drop("_id", "_lead")
-    steps = keyed.filter(F.col("_lead") > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_lead") - 1)))
-    at = F.when(plus, F.col("read_start") + F.col("_i")).otherwise(F.col("read_end") - F.col("_i"))
-    looked = steps.withColumn("_at", at).join(bases.select("chr", F.col("pos").alias("_at"), F.upper("base").alias("_base")), ["chr", "_at"], "left")
-    coded = F.col("_base").eqNullSafe(F.when(plus, "G").otherwise("C"))
-    run = looked.groupBy(*[c for c in keyed.columns]).agg(F.coalesce(F.min(F.when(coded, F.col("_i"))), F.first("_lead")).alias("_trim"))
-    moved = run.withColumn("read_start", F.when(plus, F.col("read_start") + F.col("_trim")).otherwise(F.col("read_start"))).withColumn("read_end", F.when(plus, F.col("read_end")).otherwise(F.col("read_end") - F.col("_trim")))
+    chunks = bases if "seq" in bases.columns else base_chunks(bases, size)
+    keyed = reads.withColumn("_lead", F.length(F.when(plus, F.regexp_extract("seq", "^(G*)", 1)).otherwise(F.regexp_extract("seq", "(C*)$", 1))))
+    still = keyed.filter(F.coalesce(F.col("_lead"), F.lit(0)) == 0).drop("_lead")
+    end = F.when(plus, F.col("read_start")).otherwise(F.col("read_end"))
+    leading = keyed.filter(F.col("_lead") > 0).withColumn("_end", end).withColumn("_chunk", F.floor((end - 1) / size))
+    genome = chunks.select("chr", F.col("chunk").alias("_chunk"), F.col("seq").alias("_seq"), "next_g", "last_c")
+    met = leading.join(genome, ["chr", "_chunk"], "left")
+    at = (F.col("_end") - F.col("_chunk") * size).cast("int")  # from 1, within the chunk
+    ahead = F.call_function("locate", F.lit("G"), F.col("_seq"), at)
+    near = F.reverse(F.substring("_seq", F.lit(1), at))
+    back = F.call_function("locate", F.lit("C"), near)
+    way = F.when(plus, F.when(ahead > 0, ahead - at).otherwise(F.col("next_g") - F.col("_end"))).otherwise(F.when(back > 0, back - 1).otherwise(F.col("_end") - F.col("last_c")))
+    moved = met.withColumn("_trim", F.least(F.col("_lead"), F.coalesce(way, F.col("_lead"))))
+    moved = moved.withColumn("read_start", F.when(plus, F.col("read_start") + F.col("_trim")).otherwise(F.col("read_start"))).withColumn("read_end", F.when(plus, F.col("read_end")).otherwise(F.col("read_end") - F.col("_trim")))
     return still.unionByName(moved.select(*still.columns))
 
 

@@ -1,6 +1,7 @@
-"""An immutable, lazily evaluated data set: each verb returns a new one.
+"""An immutable data set: each verb returns a new one.
 
-Clusters, consensus clusters and annotation are persisted, as later verbs use them several times.
+Raw signal, clusters, consensus clusters and annotation are staged in the shared folder, as later verbs use
+them several times; the rest is lazy.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from capsite.operators import annotate as an, cluster as cl, consensus as co, enhancer as en, expression as ex, shape as sh, shift as st, signal as sg
 from capsite.sources import readers
+from capsite.sources.staging import staged
 
 FILE_TYPES = ("bam", "bamPairedEnd", "bed", "tss", "TSStable", "BigWig")
 
@@ -73,7 +75,7 @@ class TssDataset:
             if "://" not in f and not os.path.exists(f):
                 raise FileNotFoundError(f"input file not found: {f}")
         raw = readers.read_signal(self.spark, list(self.files), self.files_type, list(self.samples), self.genome, **options)
-        return self.with_signal(raw)
+        return self.with_signal(staged(raw, "raw"))
 
     def with_signal(self, raw: DataFrame) -> TssDataset:
         return replace(self, raw=raw, signal=raw, sizes=sg.library_sizes(raw), units="counts")
@@ -105,11 +107,11 @@ class TssDataset:
 
     def cluster(self, **options) -> TssDataset:
         self._need("signal")
-        return replace(self, clusters=cl.tag_clusters(self.signal, **options).persist())
+        return replace(self, clusters=staged(cl.tag_clusters(self.signal, **options), "clusters"))
 
     def consensus_cluster(self, dis: int = 50) -> TssDataset:
         self._need("signal", "clusters")
-        return replace(self, consensus=co.consensus_clusters(self.signal, self.clusters, self.labels, dis).persist())
+        return replace(self, consensus=staged(co.consensus_clusters(self.signal, self.clusters, self.labels, dis), "consensus"))
 
     def _chosen(self, which: str) -> DataFrame:
         if which not in ("consensusClusters", "tagClusters"):
@@ -123,7 +125,7 @@ class TssDataset:
 
     def annotate(self, clusters: str = "consensusClusters", filter_cluster: bool = True, filter_threshold: float = 0.02, **options) -> TssDataset:
         self._need("genes")
-        done = an.annotate(self._chosen(clusters), self.genes, in_coding=filter_cluster, **options).persist()
+        done = staged(an.annotate(self._chosen(clusters), self.genes, in_coding=filter_cluster, **options), "annotated")
         return replace(self, annotated=done, filtered=an.filter_downstream(done, filter_threshold) if filter_cluster else None)
 
     def call_enhancers(self, flanking: int = 400, dis2gene: int = 2000) -> TssDataset:

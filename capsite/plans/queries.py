@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from capsite.functions.stats import bh_adjust
 from capsite.operators import annotate as an, cluster as cl, consensus as co, enhancer as en, expression as ex, plots as pl, shape as sh, shift as st, signal as sg
 from capsite.sources import sinks
+from capsite.sources.staging import staged
 
 SAMPLES, MERGED = ["S0", "S1", "S2", "S3"], ["control", "treat"]
 CHROMOSOMES = [f"chr{a}{b}" for a in "ANR" for b in "FO"]
@@ -25,14 +26,19 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 class View:
-    """The frames that queries share, built lazily from one data directory.
+    """The frames that the branches of one query share, from one data directory.
 
-    Clusters, consensus and annotation feed several branches of a plan each and are persisted; they hold a
-    row per promoter and sample, and Spark rebuilds lost blocks from their lineage.
+    Clusters, consensus and annotation feed several branches each and are staged once per query; they hold a
+    row per promoter and sample.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
+
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = staged(build(), name)
+        return self.made[name]
 
     def raw(self) -> DataFrame:
         k, p = F.col("l_suppkey"), F.col("l_partkey")
@@ -50,7 +56,7 @@ class View:
         return self.spark.createDataFrame([("S0", "control"), ("S1", "control"), ("S2", "treat"), ("S3", "treat")], "sample string, merged string")
 
     def merged(self) -> DataFrame:
-        return sg.merge_samples(self.raw(), self.sample_map())
+        return self._once("merged", lambda: sg.merge_samples(self.raw(), self.sample_map()))
 
     def sizes(self) -> DataFrame:
         return sg.library_sizes(self.merged())
@@ -64,13 +70,13 @@ class View:
         return crossed.select("chr", F.when(plus, 1000 * b + 300).otherwise(1000 * b - 300 - wd).cast("bigint").alias("start"), F.when(plus, 1000 * b + 300 + wd).otherwise(1000 * b - 300).cast("bigint").alias("end"), "strand", F.concat(F.lit("G"), b.cast("string"), F.lit("_"), "chr", "strand").alias("gene_id"))
 
     def clusters(self) -> DataFrame:
-        return cl.tag_clusters(self.merged()).persist()
+        return self._once("clusters", lambda: cl.tag_clusters(self.merged()))
 
     def consensus(self) -> DataFrame:
-        return co.consensus_clusters(self.merged(), self.clusters(), MERGED).persist()
+        return self._once("consensus", lambda: co.consensus_clusters(self.merged(), self.clusters(), MERGED))
 
     def annotated(self) -> DataFrame:
-        return an.annotate(self.consensus(), self.genes(), **ANNOTATION).persist()
+        return self._once("annotated", lambda: an.annotate(self.consensus(), self.genes(), **ANNOTATION))
 
     def cluster_counts(self) -> DataFrame:
         return ex.cluster_counts(self.raw(), self.annotated(), self.sample_map())

@@ -241,13 +241,32 @@ def test_bam(spark, tmp_path):
     assert {(x["pos"], x["strand"]): x["tags"] for x in counts.collect()} == want
 
 
+def trimmed_by_hand(genome, strand, start, end, seq):
+    """Step by step, base after base."""
+    i = 0
+    if strand == "+":
+        while i < len(seq) and seq[i] == "G" and genome[start - 1 + i : start + i] != "G":
+            i += 1
+        return start + i
+    while i < len(seq) and seq[-1 - i] == "C" and not (end - 1 - i >= 0 and genome[end - 1 - i] == "C"):
+        i += 1
+    return end - i
+
+
 def test_uncoded_g(spark):
-    genome = "AGGTACCA"
+    r = random.Random(8)
+    genome = "AGGTACCA" + "A" * 40 + "".join(r.choice("ACGTN") for _ in range(60)) + "T" * 30
     bases = spark.createDataFrame([("c", i + 1, b) for i, b in enumerate(genome)], "chr string, pos bigint, base string")
-    rows = [("s", "c", "+", 1, 4, "GGGT"), ("s", "c", "+", 4, 6, "TAC"), ("s", "c", "-", 2, 8, "GGTACCC"), ("s", "c", "-", 2, 7, "GGTACC")]
+    rows = [("s", "c", "+", 1, 4, "GGGT"), ("s", "c", "+", 4, 6, "TAC"), ("s", "c", "-", 2, 8, "GGTACCC"), ("s", "c", "-", 2, 7, "GGTACC"), ("s", "c", "+", 9, 40, "G" * 15 + "A" * 17), ("s", "c", "+", 110, 130, "G" * 21)]
+    for _ in range(200):
+        a = r.randint(1, len(genome) - 25)
+        rows.append(("s", "c", "+", a, a + 24, "G" * r.randint(0, 25)) if r.random() < 0.5 else ("s", "c", "-", a, a + 24, "C" * r.randint(0, 25)))
+    rows = [(*x[:5], x[5] + "T" * (x[4] - x[3] + 1 - len(x[5])) if x[2] == "+" else "T" * (x[4] - x[3] + 1 - len(x[5])) + x[5]) for x in rows]
     reads = spark.createDataFrame(rows, "sample string, chr string, strand string, read_start bigint, read_end bigint, seq string")
-    got = sg.five_prime_ends(sg.trim_uncoded_g(reads, bases)).collect()
-    assert sorted((r["pos"], r["strand"]) for r in got) == [(2, "+"), (4, "+"), (7, "-"), (7, "-")]
+    want = sorted((trimmed_by_hand(genome, *x[2:]), x[2]) for x in rows)
+    for size in (7, 10_000):
+        got = sg.five_prime_ends(sg.trim_uncoded_g(reads, bases, size)).collect()
+        assert sorted((x["pos"], x["strand"]) for x in got) == want
 
 
 def test_text_inputs(spark, tmp_path):
