@@ -1,40 +1,41 @@
 """Exact search for windows that also occur earlier, for sequences of bytes or of words.
 
+First, documents are read in shards of bounded size (a longer document is cut into several, with the windows
+dealt out once), and a shard's own method finds the windows that stand earlier in it. Only the earliest of a
+window's places in a shard goes on.
+
 A window of W items holds W - k + 1 grams of k items; the one of least hash (the leftmost of equals) is its
-anchor. Equal windows have equal anchors at equal offsets, so each window can be judged among the rows of
-its anchor alone. Neighbouring windows with one anchor form a run, and one row per run is shuffled: about
-2 / (W - k + 2) rows an item instead of one, without any text.
-
-Runs of one anchor with equal contents need no text either: all but the earliest are repeats. Only anchors
-that stand in different contents send these contents (the earliest of each) to be compared by a resolver.
-An anchor with more than HOT different contents is compared by window hashes in a windowed sort that
-spills, so no task ever holds all contents of a frequent anchor.
+anchor. Equal windows have equal anchors at equal offsets, so a window can only stand in another shard if its
+anchor does. Neighbouring windows with one anchor form a run, and one row per run is shuffled, without text.
+Runs of anchors that several shards hold send their contents, which meet at the anchor and are compared there
+item by item: hashes only bring rows together, they decide nothing.
+
+An anchor in more than ``limit`` runs is split: its windows are dealt anew by a longer gram, and those of a
+gram that is still as frequent by the whole window, which is aggregated before it is shuffled. So no task holds
+all contents of a frequent anchor.
 """
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from capsite.llm.common import PIECE, flat, id_key, int_batch, pieces, staged, text_bytes
+from capsite.llm.common import PIECE, id_key, int_batch, staged, text_bytes
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_GRAM = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _STEP = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_GRAM = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Different contents of one anchor beyond which it is compared by window hashes.
-HOT = 5_000
-#: Marks the runs of such anchors in their packed place.
-HOT_BIT = 1 << 62
-#: Sure repeats that share a key of the exchange.
-TOGETHER = 256
+#: Runs of an anchor beyond which it is split.
+LIMIT = 5_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -60,7 +61,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """Hashes of any stretch of a sequence, from one pass of prefix sums."""
+    """Hashes of any stretch of a sequence, from one pass of prefix sums. They propose; equality is left to a comparison."""
 
     def __init__(self, values: np.ndarray):
         up, self.down = _power(len(values))
@@ -71,50 +72,69 @@ class Spans:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of bytes, words being runs of other than white space."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def hash_word(word: bytes) -> int:
+    """64 bits of a cryptographic hash: no structure of the word can make two collide by design."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def word_values(data: np.ndarray) -> np.ndarray:
-    """A 64-bit value per word, worked out over pieces that end at white space."""
-    out, at = [], 0
-    while at < len(data):
-        end = min(at + PIECE, len(data))
-        while end < len(data) and not _SPACE[data[end]]:
-            end += 1
-        s, e = word_bounds(data[at:end])
-        out.append(Spans(_BYTE[data[at:end]]).of(s, e))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words as numbers that are equal exactly where words are, and the 64-bit hash of each word."""
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
+    ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    return ids, np.fromiter(map(hash_word, known), np.uint64, len(known))[ids] if words else np.zeros(0, np.uint64)
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a sequence consists of. Bytes are hashed as grams of 16, words as grams of ``gram``."""
+    """What a sequence consists of: bytes, or words, runs of other than ASCII white space. Grams have ``gram`` items."""
 
     kind: str
     window: int
     gram: int
 
-    @property
-    def spread(self) -> int:
-        return self.window - self.gram + 1
+    def items(self, text: bytes):
+        return text if self.kind == "bytes" else text.split()
 
-    def values(self, data: np.ndarray) -> np.ndarray:
-        return data if self.kind == "bytes" else word_values(data)
+    def content(self, items) -> bytes:
+        return items if self.kind == "bytes" else b" ".join(items)
 
-    def gram_hashes(self, x: np.ndarray) -> np.ndarray:
-        n = len(x) - self.gram + 1
+    def arrays(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of items end to end as numbers, as values to hash, and where each row begins (one entry more than rows)."""
+        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        if self.kind == "bytes":
+            x = np.frombuffer(b"".join(rows), np.uint8)
+            return x, x, at
+        return *numbered([w for r in rows for w in r]), at
+
+    def pieces(self, text: bytes, size: int) -> Iterator[tuple[int, bytes | list[bytes]]]:
+        """(number of the first item, items) of pieces of about ``size`` bytes that share no window and miss none."""
+        if len(text) <= 2 * size:
+            yield 0, self.items(text)
+        elif self.kind == "bytes":
+            for s in range(0, len(text) - self.window + 1, size):
+                yield s, text[s : s + size + self.window - 1]
+        else:
+            at, first, tail = 0, 0, []
+            while at < len(text):
+                end = min(at + size, len(text))
+                while end < len(text) and not text[end : end + 1].isspace():
+                    end += 1
+                words = tail + text[at:end].split()
+                yield first, words
+                tail = words[max(len(words) - self.window + 1, 0) :]
+                first, at = first + len(words) - len(tail), end
+
+    def gram_hashes(self, x: np.ndarray, gram: int) -> np.ndarray:
+        """A hash of each gram of neighbouring values."""
+        n = len(x) - gram + 1
         if self.kind == "bytes":
             pad = np.concatenate([x, np.zeros(8, np.uint8)])
-            load = lambda i: np.ndarray((n,), "<u8", pad, i, (1,))
-            return mix(load(0) * _GRAM[0] + (load(self.gram - 8) * _GRAM[1] ^ _GRAM[2]))
+            h = np.zeros(n, np.uint64)
+            for j, i in enumerate([*range(0, gram - 8, 8), gram - 8]):
+                h += np.ndarray((n,), "<u8", pad, i, (1,)) * _GRAM[j]
+            return mix(h)
         h = x[:n] * _GRAM[0]
-        for j in range(1, self.gram):
+        for j in range(1, gram):
             h += x[j : j + n] * _GRAM[j]
         return mix(h)
 
@@ -128,68 +148,21 @@ def least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - s)], v[width - s :]) if s < width else v
 
 
-def runs(x: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """(row, start in row, windows, anchor offset, anchor hash, content hash) of all runs of the rows x[at[i]:at[i + 1]]."""
-    w = unit.window
-    if len(x) < w:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    h = unit.gram_hashes(x)
-    ranked = (h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    low = least(ranked, unit.spread)
-    whole = np.zeros(len(low) + 1, np.int64)  # +1 where the windows of a row begin, -1 behind them
-    long = np.flatnonzero(np.diff(at) >= w)
-    np.add.at(whole, at[long], 1)
-    np.add.at(whole, at[long + 1] - w + 1, -1)
-    p = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+def window_starts(at: np.ndarray, window: int) -> np.ndarray:
+    """Places at which a window begins that ends in the same row."""
+    size = np.maximum(np.diff(at) - window + 1, 0)
+    return np.repeat(at[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def runs(h: np.ndarray, p: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first window, windows) of the runs of the windows of ``spread`` grams, of hashes h, that begin at the rising places p."""
     if not len(p):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = least((h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), spread)
     anchor = (low[p] & U(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    last = np.append(first[1:], len(p)) - 1
-    a, b = p[first], p[last]
-    row = np.searchsorted(at, a, "right") - 1
-    content = Spans(_BYTE[x] if unit.kind == "bytes" else x).of(a, b + w)
-    return row, a - at[row], b - a + 1, anchor[first] - a, h[anchor[first]], content
-
-
-def _row_runs(data: np.ndarray, at: np.ndarray, unit: Unit) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of a batch, in pieces of bounded size; a long row is cut, with the windows dealt out once."""
-    for i, j in pieces(at, PIECE):
-        if unit.kind == "bytes":
-            x, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
-        else:
-            x = unit.values(data[at[i] : at[j]]) if j == i + 1 else None
-            if x is None:
-                piece, inner = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                s, e = split_words(piece, inner)
-                x = Spans(_BYTE[piece]).of(s, e)
-                bounds = np.searchsorted(s, inner, "left")
-            else:
-                bounds = np.array([0, len(x)])
-        if len(x) <= 2 * PIECE:
-            row, *rest = runs(x, bounds, unit)
-            yield (row + i, *rest)
-        else:
-            for s in range(0, len(x) - unit.window + 1, PIECE):
-                part = x[s : s + PIECE + unit.window - 1]
-                row, start, *rest = runs(part, np.array([0, len(part)]), unit)
-                yield (row + i, start + s, *rest)
-
-
-def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of words in several rows laid end to end; a word ends where its row does."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    starts = np.zeros(len(data) + 1, bool)
-    ends = np.zeros(len(data) + 1, bool)
-    edge = np.diff(inside)
-    starts[edge == 1] = True
-    ends[edge == -1] = True
-    cut = at[(at > 0) & (at < len(data))]
-    cut = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
-    starts[cut] = True
-    ends[cut] = True
-    return np.flatnonzero(starts), np.flatnonzero(ends)
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(p) != 1)])
+    first = np.flatnonzero(new)
+    return h[anchor[first]], p[first], np.diff(np.append(first, len(p)))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
@@ -203,195 +176,227 @@ def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataF
     return body.select("doc_id", "did", F.xxhash64("text").alias("t"), "text", "rest")
 
 
-Resolver = Callable[[list[bytes], np.ndarray], np.ndarray]
+#: Of a shard's rows laid end to end (numbers, row bounds, hashes of grams): true at the places of windows that also begin earlier.
+ShardFlags = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Of contents by anchor and, within it, by place, and the numbers of their anchors: flags of all their windows, end to end, likewise.
+MergeFlags = Callable[[list[bytes], np.ndarray], np.ndarray]
+
+
+def _shards(unit: Unit, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[int, int, int, object]]]:
+    """Lists of (did, t, number of the first item, items) of about ``size`` bytes, by place; repeated rows stand once."""
+    rows: dict = {}
+    held = 0
+    for batch in batches:
+        for did, t, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for first, items in unit.pieces(text, size):
+                if held >= size:
+                    yield [(*k, v) for k, v in sorted(rows.items(), key=lambda r: r[0])]
+                    rows, held = {}, 0
+                rows[did, t, first] = items
+                held += len(text) if len(text) <= 2 * size else size
+    if rows:
+        yield [(*k, v) for k, v in sorted(rows.items(), key=lambda r: r[0])]
 
 
-def repeats(docs: DataFrame, unit: Unit, resolver: Resolver, hot: int | None = None, along: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, unit: Unit, in_shard: ShardFlags, merged: MergeFlags, limit: int | None = None, shard: int = PIECE, along: str = "doc_id") -> DataFrame:
     """(did, t, s, e): stretches [s, e) of items covered by windows that also start earlier.
 
-    docs: the frame of keyed(). Earlier means smaller (did, t, start). resolver: see _resolved.
-    along: the column that the caller reads from with_spans() beside the text. The join that looks contents up
-    keeps it as well, so that both joins need the same columns and one exchange of the texts serves both.
+    docs: the frame of keyed(). Earlier means smaller (did, t, start). along: the column that the caller reads
+    from with_spans() beside the text. The join that looks contents up keeps it as well, so that both joins need
+    the same columns and one exchange of the texts serves both.
     """
-    hot = HOT if hot is None else hot
+    limit = LIMIT if limit is None else limit
     w = unit.window
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, at = flat(batch.column(2))
-            did, t = (np.asarray(batch.column(i)) for i in (0, 1))
-            parts = [(h.view(np.int64), c.view(np.int64), did[row], t[row], start << 16 | n << 8 | off) for row, start, n, off, h, c in _row_runs(data, at, unit)]
-            if parts:
-                yield _combined(*(np.concatenate(c) for c in zip(*parts)))
-
-    found = docs.select("did", "t", "text").mapInArrow(emit, "h bigint, v bigint, did bigint, t bigint, pack bigint, sure boolean")
-    order = W.partitionBy("h").orderBy("v", "did", "t", "pack")
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    same = W.partitionBy("h", "v").orderBy("did", "t", "pack")
-    place = F.struct("did", "t", "pack")
-    judged = found.select(
-        "h", "did", "t", "pack",
-        (F.col("sure") | (F.first(place).over(same) != place)).alias("dup"),
-        (F.first("v").over(whole) != F.last("v").over(whole)).alias("mixed"),
-        F.row_number().over(same).alias("nth"),
-        F.sum(F.when(F.coalesce(F.lag("v").over(order) != F.col("v"), F.lit(True)), 1).otherwise(0)).over(whole).alias("kinds"),
-    ).filter(F.col("dup") | (F.col("mixed") & (F.col("nth") == 1)))
-    judged = staged(judged.select(F.when(~F.col("dup"), F.col("h")).alias("h"), "did", "t", "pack", "dup", (F.col("kinds") > hot).alias("hot")), "runs")
-    first = F.shiftright("pack", 16)
-    count = F.shiftright("pack", 8).bitwiseAND(255)
-    sure = judged.filter("dup").select("did", "t", first.alias("s"), (first + count + (w - 1)).alias("e"))
-    asked = judged.filter(~F.col("dup")).groupBy("did", "t").agg(F.collect_list(F.struct("h", F.when(F.col("hot"), F.col("pack").bitwiseOR(F.lit(HOT_BIT))).otherwise(F.col("pack")).alias("pack"))).alias("asked"))
-    held = docs.join(asked.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked", along)
-    cut = held.mapInArrow(_cutter(unit), "h bigint, g bigint, did bigint, t bigint, pack bigint, content binary")
-    usual = cut.filter(F.col("content").isNotNull()).repartition("h").sortWithinPartitions("h", "did", "t", "pack")
-    compared = usual.mapInArrow(_resolved(unit, resolver), "did bigint, t bigint, s bigint, e bigint")
-    by_window = W.partitionBy("h", "g").orderBy("did", "t", "pack")
-    frequent = cut.filter(F.col("content").isNull()).select("did", "t", "pack", (F.first(place).over(by_window) != place).alias("dup"))
-    frequent = frequent.filter("dup").select("did", "t", F.col("pack").alias("s"), (F.col("pack") + w).alias("e"))
-    return sure.unionByName(compared).unionByName(frequent)
-
-
-def _combined(h: np.ndarray, v: np.ndarray, did: np.ndarray, t: np.ndarray, pack: np.ndarray) -> pa.RecordBatch:
-    """Runs of a batch, with those that stand earlier in the batch itself marked as sure repeats.
-
-    A sure repeat needs no comparison any more: TOGETHER of them travel under a key of their own, so that of a
-    frequent run one row per batch meets the others. Neighbouring ones of a document travel as one.
-    """
-    order = np.lexsort((pack, t, did, v, h))
-    head = np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (v[order[1:]] != v[order[:-1]])])
-    first = np.empty(len(h), np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
-    sure = (did != did[first]) | (t != t[first]) | (pack != pack[first])
-    rest = ~sure  # in the order of documents, in which neighbours have much in common
-    d, u, k = did[sure], t[sure], pack[sure]
-    order = np.lexsort((k, u, d))
-    d, u, start, n = d[order], u[order], k[order] >> 16, k[order] >> 8 & 255
-    if len(d):
-        # windows are counted in eight bits, so a joined run is cut anew into runs of that size
-        end = start + n
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (u[1:] != u[:-1]) | (start[1:] != end[:-1])])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(d)) - 1
-        d, u, start, n = d[at], u[at], start[at], end[last] - start[at]
-        cuts = -(-n // 255)
-        row = np.repeat(np.arange(len(n)), cuts)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        d, u, start, n = d[row], u[row], start[row] + 255 * piece, np.minimum(n[row] - 255 * piece, 255)
-    own = mix(d.astype(np.uint64) + mix(start.astype(np.uint64) + U(1))).view(np.int64)
-    own = np.repeat(own[::TOGETHER], TOGETHER)[: len(own)]
-    columns = [np.concatenate(c) for c in ((h[rest], own), (v[rest], np.zeros_like(own)), (did[rest], d), (t[rest], u), (pack[rest], start << 16 | n << 8))]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) >= rest.sum())], ["h", "v", "did", "t", "pack", "sure"])
-
-
-def _cutter(unit: Unit):
-    """Contents of the runs asked for; for hot anchors a row per window with two hashes of it instead."""
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = TaskContext.get().partitionId() << 32
+        for k, rows in enumerate(_shards(unit, batches, shard)):
+            x, values, at = unit.arrays([r[3] for r in rows])
+            starts = window_starts(at, w)
+            did, t, item = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            grams = unit.gram_hashes(values, unit.gram) if len(starts) else np.zeros(0, np.uint64)
+            flags = in_shard(x, at, grams)[starts] if len(starts) else np.zeros(0, bool)
+            parts = []
+            again, fresh = starts[flags], starts[~flags]
+            row = lambda p: np.searchsorted(at, p, "right") - 1
+            if len(again):
+                in_row = row(again)
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(again) != 1) | (np.diff(in_row) != 0)]))
+                size = np.diff(np.append(new, len(again))) + w - 1
+                r, s = in_row[new], again[new]
+                parts.append((np.zeros(len(new), np.int64), did[r], t[r], s - at[r] + item[r], size, np.full(len(new), -1)))
+            h, s, n = runs(grams, fresh, w - unit.gram + 1)
+            r = row(s)
+            parts.append((h.view(np.int64), did[r], t[r], s - at[r] + item[r], n, np.full(len(s), own | k)))
+            yield int_batch(**dict(zip(["h", "did", "t", "s", "n", "shard"], map(np.concatenate, zip(*parts)))))
+
+    found = staged(docs.select("did", "t", "text").mapInArrow(first_pass, "h bigint, did bigint, t bigint, s bigint, n bigint, shard bigint"), "runs")
+    sure = found.filter("shard < 0").select("did", "t", "s", (F.col("s") + F.col("n")).alias("e"))
+    asked = staged(_met(found.filter("shard >= 0")), "asked")
+    contents = _contents(docs, asked, unit, along)
+    split = bool(asked.filter(F.col("runs") > limit).limit(1).count())
+    contents = staged(contents, "contents") if split else contents
+    out = sure.unionByName(_compared(contents.filter(F.col("runs") <= limit), unit, merged))
+    if split:
+        anew = staged(_anew(contents.filter(F.col("runs") > limit), unit, (unit.gram + w) // 2), "anew")
+        met = staged(_met(anew), "met")
+        out = out.unionByName(_compared(met.filter(F.col("runs") <= limit), unit, merged))
+        # A stretch that common is compared as whole windows; a partial minimum goes before the shuffle.
+        single = staged(_anew(met.filter(F.col("runs") > limit), unit, w), "windows")
+        first = single.groupBy("content").agg(F.min(F.struct("did", "t", "s")).alias("first"))
+        later = single.join(first, "content").filter(F.struct("did", "t", "s") != F.col("first"))
+        out = out.unionByName(later.select("did", "t", "s", (F.col("s") + w).alias("e")))
+    return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        names = ["h", "g", "did", "t", "pack", "content"]
 
-        def batch_of(columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+def _met(rows: DataFrame) -> DataFrame:
+    """The runs whose anchor several shards hold, with the number of its runs; a frequent anchor is summed up before the shuffle, and a join that it makes uneven is split by AQE."""
+    held = rows.groupBy("h").agg(F.min("shard").alias("_a"), F.max("shard").alias("_b"), F.count(F.lit(1)).alias("runs"))
+    return rows.join(held.filter(F.col("_a") != F.col("_b")).select("h", "runs").hint("shuffle_hash"), "h")
+
 
+def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str) -> DataFrame:
+    """The asked runs with the items that their windows cover."""
+    names = ["h", "s", "n", "shard", "runs"]
+    per_doc = asked.groupBy("did", "t").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    held = docs.join(per_doc.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked", along)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = unit.window - 1
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            size = 0
-            for i in range(batch.num_rows):
-                did, t, text, asked = (batch.column(c)[i].as_py() for c in range(4))
-                items = text if unit.kind == "bytes" else text.split()
-                spans = None
-                for r in asked:
-                    pack = r["pack"] & ~HOT_BIT
-                    start, n = pack >> 16, pack >> 8 & 255
-                    if pack == r["pack"]:
-                        piece = items[start : start + n + unit.window - 1]
-                        size += 200
-                        for c, x in zip(out, (r["h"], 0, did, t, pack, piece if unit.kind == "bytes" else b" ".join(piece))):
-                            c.append(x)
-                        continue
-                    if spans is None:
-                        x = unit.values(np.frombuffer(text, np.uint8))
-                        x = _BYTE[x] if unit.kind == "bytes" else x
-                        spans = Spans(x), Spans(mix(x + U(1)))
-                    s = np.arange(start, start + n)
-                    yield pa.RecordBatch.from_arrays([pa.array(sp.of(s, s + unit.window).view(np.int64)) for sp in spans] + [pa.array(np.full(n, did)), pa.array(np.full(n, t)), pa.array(s), pa.nulls(n, pa.binary())], names)
-                if size > 4_000_000:
-                    yield batch_of(out)
-                    out, size = [[], [], [], [], [], []], 0
-            yield batch_of(out)
-
-    return cut
-
-
-def _resolved(unit: Unit, resolver: Resolver, block: int = PIECE):
-    """Feeds contents to the resolver, whole anchors at a time in blocks of about ``block`` bytes.
-
-    resolver(contents, group) gets contents by anchor and, within it, by place, and the number of each one's
-    anchor; it returns the flags of all their windows, end to end: true where the window also stands earlier.
+            keys = list(zip(*(batch.column(i).to_pylist() for i in (0, 1))))
+            once = sorted({k: i for i, k in enumerate(keys)}.values())  # one of repeated rows does
+            wanted = batch.column(3)
+            ends = wanted.offsets.to_numpy()
+            fields = {c: wanted.values.field(c).to_numpy() for c in names}
+            held, size = [], 0
+            for i in once:
+                a, b = int(ends[i]), int(ends[i + 1])
+                items = unit.items(batch.column(2)[i].as_py())
+                own = [unit.content(items[s : s + n + more]) for s, n in zip(fields["s"][a:b].tolist(), fields["n"][a:b].tolist())]
+                held.append((i, a, b, own))
+                size += sum(map(len, own))
+                if size > 4_000_000 or i == once[-1]:
+                    pick = np.concatenate([np.arange(a, b) for _, a, b, _ in held])
+                    row = pa.array(np.repeat([i for i, *_ in held], [b - a for _, a, b, _ in held]))
+                    columns = [*(pa.array(fields[c][pick]) for c in names), batch.column(0).take(row), batch.column(1).take(row), pa.array([c for *_, own in held for c in own], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*names, "did", "t", "content"])
+                    held, size = [], 0
+
+    return held.mapInArrow(cut, "h bigint, s bigint, n bigint, shard bigint, runs bigint, did bigint, t bigint, content binary")
+
+
+def _anew(rows: DataFrame, unit: Unit, gram: int) -> DataFrame:
+    """The windows of runs in runs of anchors of ``gram`` items, with their contents."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "did", "t", "s", "n", "shard"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                rows = [unit.items(c) for c in part.column(4).to_pylist()]
+                _, values, at = unit.arrays(rows)
+                h, s, n = runs(unit.gram_hashes(values, gram), window_starts(at, unit.window), unit.window - gram + 1)
+                r = np.searchsorted(at, s, "right") - 1
+                inner = s - at[r]
+                did, t, first, shard = (np.asarray(part.column(c)) for c in range(4))
+                cut = [unit.content(rows[a][b : b + m + unit.window - 1]) for a, b, m in zip(r.tolist(), inner.tolist(), n.tolist())]
+                columns = [h.view(np.int64), did[r], t[r], first[r] + inner, n, shard[r]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], [*names, "content"])
+
+    return rows.select("did", "t", "s", "shard", "content").mapInArrow(deal, "h bigint, did bigint, t bigint, s bigint, n bigint, shard bigint, content binary")
+
+
+def _compared(rows: DataFrame, unit: Unit, merged: MergeFlags) -> DataFrame:
+    dealt = rows.select("h", "did", "t", "s", "n", "content").repartition("h").sortWithinPartitions("h", "did", "t", "s")
+    return dealt.mapInArrow(_resolved(unit, merged), "did bigint, t bigint, s bigint, e bigint")
+
+
+def _resolved(unit: Unit, merged: MergeFlags, block: int = PIECE):
+    """Compares contents, whole anchors at a time in blocks of about ``block`` bytes.
+
+    Contents of an anchor that are equal, byte by byte, need no more: all but the first repeat it. Different
+    ones of an anchor, by place, go to merged().
     """
     w = unit.window
 
-    def judge(h, did, t, pack, content):
-        again = (h[1:] == h[:-1]) & (did[1:] == did[:-1]) & (t[1:] == t[:-1]) & (pack[1:] == pack[:-1])
-        if again.any():  # rows of one document that stands in the table more than once
-            keep = np.flatnonzero(np.concatenate([[True], ~again]))
-            h, did, t, pack, content = h[keep], did[keep], t[keep], pack[keep], [content[i] for i in keep.tolist()]
-        n = (pack >> 8) & 255
+    def judge(h: np.ndarray, did: np.ndarray, t: np.ndarray, s: np.ndarray, n: np.ndarray, content: list[bytes]) -> pa.RecordBatch | None:
+        # Rows of one document that stands in the table more than once may be cut differently; a window is taken once.
+        if ((h[1:] == h[:-1]) & (did[1:] == did[:-1]) & (t[1:] == t[:-1]) & (s[1:] < s[:-1] + n[:-1])).any():
+            key, end, rows = None, 0, []
+            for i, (k, a, m) in enumerate(zip(zip(h.tolist(), did.tolist(), t.tolist()), s.tolist(), n.tolist())):
+                skip = max(end - a, 0) if k == key else 0
+                end = max(end, a + m) if k == key else a + m
+                key = k
+                if skip < m:
+                    rows.append((i, a + skip, m - skip, unit.content(unit.items(content[i])[skip:]) if skip else content[i]))
+            keep = np.array([r[0] for r in rows])
+            h, did, t, s, n, content = h[keep], did[keep], t[keep], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
         group = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-        flags = resolver(content, group)
+        first: dict = {}
+        own = np.fromiter((first.setdefault(k, i) for i, k in enumerate(zip(group.tolist(), content))), np.int64, len(content))
+        heads = own == np.arange(len(own))
+        kinds = np.bincount(group[heads], minlength=group[-1] + 1)
         at = np.concatenate([[0], np.cumsum(n)])
-        run = np.repeat(np.arange(len(n)), n)
-        place = np.arange(at[-1]) - at[run] + (pack[run] >> 16)
+        flags = np.repeat(~heads, n)
+        mixed = np.flatnonzero(heads & (kinds[group] > 1))
+        if len(mixed):
+            size = n[mixed]
+            where = np.repeat(at[mixed] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            flags[where] |= merged([content[i] for i in mixed.tolist()], group[mixed])
         hit = np.flatnonzero(flags)
         if not len(hit):
             return None
-        new = np.concatenate([[True], (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]])])
-        first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-        return int_batch(did=did[run[first]], t=t[run[first]], s=place[first], e=place[last] + w)
+        run = np.repeat(np.arange(len(n)), n)[hit]
+        place = hit - at[run] + s[run]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(run) != 0)]))
+        last = np.append(new[1:], len(hit)) - 1
+        return int_batch(did=did[run[new]], t=t[run[new]], s=place[new], e=place[last] + w)
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         size = 0
 
-        def take(columns):
-            nonlocal kept, size
-            h = np.concatenate([c[0] for c in columns])
-            return h, *[np.concatenate([c[i] for c in columns]) for i in (1, 2, 3)], [x for c in columns for x in c[4]]
+        def take():
+            return [*(np.concatenate([c[i] for c in kept]) for i in range(5)), [x for c in kept for x in c[5]]]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             content = batch.column(5).to_pylist()
-            kept.append((*[np.asarray(batch.column(i)) for i in (0, 2, 3, 4)], content))
+            kept.append((*(np.asarray(batch.column(i)) for i in range(5)), content))
             size += sum(map(len, content))
             if size < block:
                 continue
-            h, did, t, pack, content = take(kept)
-            edge = np.flatnonzero(np.append(h[1:] != h[:-1], False)) + 1  # the last anchor may go on in the next batch
-            lengths = np.cumsum([len(c) for c in content])
+            columns = take()
+            h, content = columns[0], columns[5]
+            edge = np.flatnonzero(h[1:] != h[:-1]) + 1  # the last anchor may go on in the next batch
+            ends = np.cumsum([len(c) for c in content])
             at = 0
-            while at < len(h) and len(edge) and edge[-1] > at:
-                room = lengths[at - 1] + block if at else block
-                to = edge[max(np.searchsorted(edge, at, "right"), np.searchsorted(edge, np.searchsorted(lengths, room), "right") - 1)]
-                if (got := judge(h[at:to], did[at:to], t[at:to], pack[at:to], content[at:to])) is not None:
+            while len(edge) and edge[-1] > at:
+                room = (ends[at - 1] if at else 0) + block
+                to = int(edge[max(np.searchsorted(edge, at, "right"), np.searchsorted(edge, np.searchsorted(ends, room), "right") - 1)])
+                if (got := judge(*(c[at:to] for c in columns))) is not None:
                     yield got
-                at = int(to)
-            kept = [(h[at:], did[at:], t[at:], pack[at:], content[at:])]
+                at = to
+            kept = [tuple(c[at:] for c in columns)]
             size = sum(map(len, content[at:]))
-        if kept and len(kept[0][0]):
-            h, did, t, pack, content = take(kept)
-            if (got := judge(h, did, t, pack, content)) is not None:
-                yield got
+        if kept and len(kept[0][0]) and (got := judge(*take())) is not None:
+            yield got
 
     return resolve
 
 
+#: Bits that hold the length of a stretch beside its start.
+LENGTH_BITS = 24
+
+
 def merged_spans(spans: list[int] | None) -> list[tuple[int, int]]:
     """Maximal runs of a document's stretches as with_spans() packs them; those that touch become one."""
     out: list[tuple[int, int]] = []
     for x in sorted(spans or ()):
-        s = x >> 16
-        e = s + (x & 0xFFFF)
+        s = x >> LENGTH_BITS
+        e = s + (x & (1 << LENGTH_BITS) - 1)
         if out and s <= out[-1][1]:
             if e > out[-1][1]:
                 out[-1] = out[-1][0], e
@@ -404,8 +409,8 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs of keyed() with the stretches to remove as ``spans``.
 
     Shares the exchange of docs with repeats() if the text and the column named there are all that is read.
-    A stretch lies within one run, so it is short: start << 16 | length.
+    A stretch lies within one shard, so its length fits beside its start.
     """
-    packed = F.shiftleft("s", 16).bitwiseOR(F.col("e") - F.col("s"))
+    packed = F.shiftleft("s", LENGTH_BITS).bitwiseOR(F.col("e") - F.col("s"))
     per_doc = spans.groupBy("did", "t").agg(F.collect_list(packed).alias("spans"))
     return docs.join(per_doc.hint("shuffle_hash"), ["did", "t"], "left")

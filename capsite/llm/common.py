@@ -1,36 +1,17 @@
-"""Helpers that the operators share: staging in the cluster's shared folder and Arrow batches as numpy arrays."""
+"""Helpers that the operators share."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, functions as F
+
+from capsite.sources.staging import staged  # noqa: F401
 
 #: Bytes of text that a numpy step handles at once.
 PIECE = 1 << 20
 LAST_ID = (1 << 63) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="capsite-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/capsite-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_key(doc_id: str) -> Column:
     """The id as bigint; null ids come after all others."""
     return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST_ID))
@@ -41,29 +22,6 @@ def text_bytes(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column in one array, and where each row begins (one entry more than rows)."""
-    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return body, at - at[0]
-
-
-def pieces(at: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most ``most`` bytes together; a longer row stands alone."""
-    first = 0
-    n = len(at) - 1
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
-
-
-
-
 def int_batch(**columns) -> pa.RecordBatch:
     """A batch of bigint columns from numpy arrays."""
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(v).astype(np.int64, copy=False)) for v in columns.values()], list(columns))

@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from capsite.llm.anchors import _BYTE, _GRAM, Spans, mix, split_words
-from capsite.llm.common import flat, pieces, staged, text_bytes
+from capsite.llm.anchors import _GRAM, mix, numbered
+from capsite.llm.common import PIECE, staged, text_bytes
 from capsite.llm.components import components
 
 SHINGLE = 5
@@ -42,22 +42,21 @@ def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, rec
     return 1
 
 
-def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct shingles of each row, sorted within it, and where each row begins."""
-    start, end = split_words(data, at)
-    word = Spans(_BYTE[data]).of(start, end)
-    bounds = np.searchsorted(start, at, "left")
-    n = np.diff(bounds)
+def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct shingles of each text, sorted within it, and where each text begins."""
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    _, word = numbered([x for w in words for x in w])
     full = np.maximum(n - SHINGLE + 1, 0)
     row = np.repeat(np.arange(len(n)), full)
     place = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + bounds[row]
     h = np.zeros(len(place), np.uint64)
     for j in range(SHINGLE):
         h += word[place + j] * _GRAM[j]
-    for i in np.flatnonzero((n > 0) & (full == 0)):  # short texts: one shingle of all words
-        w = word[bounds[i] : bounds[i + 1]]
-        row, h = np.append(row, i), np.append(h, (w * _GRAM[: len(w)]).sum(dtype=np.uint64) + U(len(w)))
-    h = mix(h)
+    short = np.flatnonzero((n > 0) & (full == 0))  # one shingle of all words
+    whole = [(word[bounds[i] : bounds[i + 1]] * _GRAM[: n[i]]).sum(dtype=np.uint64) + U(n[i]) for i in short]
+    row, h = np.append(row, short), mix(np.append(h, np.array(whole, np.uint64)))
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     if len(h):
@@ -66,6 +65,20 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nda
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
+def batches_of(texts: list[bytes], most: int = PIECE) -> Iterator[list[bytes]]:
+    """Consecutive texts of about ``most`` bytes together; a longer text stands alone."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(77)
     return rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1), rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -129,10 +142,9 @@ def _signed(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = flat(batch.column(2))
             sigs: list = []
-            for i, j in pieces(at):
-                h, rows = shingle_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            for texts in batches_of(batch.column(2).to_pylist()):
+                h, rows = shingle_hashes(texts)
                 for s, n in zip(signatures(h, rows, length), np.diff(rows)):
                     sigs.append(s.tobytes() if n else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary())], ["doc_id", "node", "sig"])
@@ -195,10 +207,9 @@ def _verified(docs: DataFrame, text: str, members: DataFrame, similarity: tuple[
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.take(pa.array(np.unique(np.asarray(batch.column(0)), return_index=True)[1]))  # one of the copies does
-            data, at = flat(batch.column(3))
             out: list[bytes] = []
-            for i, j in pieces(at):
-                h, rows = shingle_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            for texts in batches_of(batch.column(3).to_pylist()):
+                h, rows = shingle_hashes(texts)
                 out += [h[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:])]
             root, blocks, node = (np.asarray(batch.column(i)) for i in (1, 2, 0))
             own = (node % blocks).astype(np.int64)

@@ -36,7 +36,7 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 5])
-@pytest.mark.parametrize("hot,shard", [(None, 1 << 22), (2, 1 << 22), (None, 3000)])
+@pytest.mark.parametrize("hot,shard", [(None, 1 << 22), (2, 1 << 22), (None, 3000), (2, 2000)])
 def test_bytes(spark, seed, hot, shard):
     rows = corpus(seed)
     order = sorted(set(rows), key=lambda r: LAST if r[0] is None else r[0])
@@ -52,62 +52,117 @@ def test_bytes(spark, seed, hot, shard):
 
 
 @pytest.mark.parametrize("seed", [1, 5])
-@pytest.mark.parametrize("hot", [None, 2])
-def test_words(spark, seed, hot):
+@pytest.mark.parametrize("hot,block", [(None, 1 << 20), (2, 1 << 20), (None, 3000), (2, 2000)])
+def test_words(spark, seed, hot, block):
     rows = corpus(seed)
     order = sorted(set(rows), key=lambda r: LAST if r[0] is None else r[0])
     words = [(t or "").encode().split() for _, t in order]
     want = {i: (len(w), sum(g), b" ".join(x for x, y in zip(w, g) if not y)) for (i, _), w, g in zip(order, words, brute(words, 20))}
-    got = rlz_dedup.rlz_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot).collect()
+    got = rlz_dedup.rlz_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=hot, block=block).collect()
     assert len(got) == len(rows)
     assert all((r["n_words"], r["n_removed"], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
 
 
-def test_long_rows_are_cut(monkeypatch):
-    r = np.random.default_rng(0)
-    data = r.integers(97, 101, 9000, dtype=np.uint8)
-    data[r.integers(0, 9000, 900)] = 32
-    at = np.array([0, 4000, 4000, 9000])
-    for unit in (anchors.Unit("bytes", 100, 16), anchors.Unit("words", 20, 5)):
-        whole = sum(int(n.sum()) for _, _, n, *_ in anchors._row_runs(data, at, unit))
-        monkeypatch.setattr(anchors, "PIECE", 700)
-        cut = sum(int(n.sum()) for _, _, n, *_ in anchors._row_runs(data, at, unit))
-        monkeypatch.undo()
-        assert whole == cut > 0
+def test_long_rows_are_cut():
+    r = random.Random(0)
+    text = bytes(r.choice(b"abc  \n") for _ in range(9000)) + b"x" * 2000 + b" yy" * 300
+    for unit in (anchors.Unit("bytes", 100, 32), anchors.Unit("words", 20, 8)):
+        whole = unit.items(text)
+        windows = [unit.content(whole[i : i + unit.window]) for i in range(len(whole) - unit.window + 1)]
+        for size in (300, 700, 20_000):
+            cut = [(first + i, unit.content(items[i : i + unit.window])) for first, items in unit.pieces(text, size) for i in range(len(items) - unit.window + 1)]
+            assert cut == list(enumerate(windows))
 
 
 def test_suffix_array_and_prefixes():
     r = random.Random(2)
-    contents = [bytes(r.choice(b"ab") for _ in range(r.randint(5, 60))) for _ in range(20)]
-    length = np.array([len(c) for c in contents])
-    start = np.concatenate([[1], 1 + np.cumsum(length + 1)])[:-1]
-    x = np.frombuffer(b"\0" + b"\0".join(contents) + b"\0", np.uint8).astype(np.uint16)
-    sa, inverse = suffix_dedup.suffix_order(x)
-    assert sa.tolist() == sorted(range(len(x)), key=lambda i: bytes(x[i:].astype(np.uint8)))
-    lcp = suffix_dedup.common_prefixes(x, sa, inverse, start, length, 50)
-    b = bytes(x.astype(np.uint8))
-    for k in range(1, len(sa)):
-        i, j, n = int(sa[k - 1]), int(sa[k]), 0
-        while b[j] and n < 50 and j + n < len(b) and i + n < len(b) and b[i + n] == b[j + n] and b[j + n]:
-            n += 1
-        assert lcp[k] == n
+    rows = [bytes(r.choice(b"ab\x00") for _ in range(r.randint(0, 60))) for _ in range(20)] + [b"abab" * 100, b"\x00" * 50, b"abab" * 90]
+    x = np.frombuffer(b"".join(rows), np.uint8)
+    b = bytes(x)
+    sa, rank, near = suffix_dedup.suffix_order(x)
+    assert sa.tolist() == sorted(range(len(x)), key=lambda i: b[i:]) and sorted(rank.tolist()) == list(range(len(x)))
+    for depth in (20, 50):
+        sa, rank, near = suffix_dedup.suffix_order(x, depth)
+        padded = b + bytes(depth)
+        assert [padded[i : i + depth] for i in sa] == sorted(padded[i : i + depth] for i in range(len(b)))
+        lcp = suffix_dedup.common_prefixes(x, sa, rank, near, depth)
+        members = set(near.tolist())
+        for k in range(1, len(sa)):
+            i, j, n = int(sa[k - 1]), int(sa[k]), 0
+            while n < depth and padded[i + n] == padded[j + n]:
+                n += 1
+            assert rank[i] != rank[j] or lcp[j] == depth
+            if max(i, j) + depth <= len(b):
+                assert lcp[j] == n if j in members else n < depth
 
 
 def test_shards_agree_with_brute_force():
     r = random.Random(1)
-    for _ in range(60):
+    for _ in range(30):
         bases = [bytes(r.choice(b"ab c\xc3\xa9") for _ in range(400)) for _ in range(3)]
-        contents = []
-        for _ in range(60):
-            b, i = r.choice(bases), r.randrange(0, 200)
+        contents, group = [], np.sort(np.array([r.randrange(4) for _ in range(60)]))
+        for g in group:
+            b, i = bases[g % 3] + bytes([g]) * 120, r.randrange(0, 200)
             contents.append(b[i : i + r.randint(100, 184)])
-        seen, want = set(), []
-        for c in contents:
-            for i in range(len(c) - 99):
-                want.append(c[i : i + 100] in seen)
-                seen.add(c[i : i + 100])
-        for shard in (1 << 22, 3000):
-            assert suffix_dedup.resolver(100, shard)(contents, np.zeros(60, int)).tolist() == want
+        at = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
+        x = np.frombuffer(b"".join(contents), np.uint8)
+        flags = suffix_dedup.in_shard(100)(x, at, anchors.Unit("bytes", 100, 32).gram_hashes(x, 32))[anchors.window_starts(at, 100)]
+        want = np.concatenate([np.array(g[: len(c) - 99]) for g, c in zip(starts_of(contents, 100), contents)])
+        assert (flags == want).all()
+
+
+def starts_of(sequences, window):
+    seen, out = set(), []
+    for s in sequences:
+        flags = []
+        for i in range(len(s) - window + 1):
+            key = s[i : i + window]
+            flags.append(key in seen)
+            seen.add(key)
+        out.append(flags)
+    return out
+
+
+def test_merge_by_binary_search():
+    r = random.Random(4)
+    for _ in range(20):
+        contents, group, want = [], [], []
+        for g in range(12):
+            base = bytes([65 + g]) + bytes(r.choice(b"abcd") for _ in range(240))
+            own = [base[i : i + r.randint(100, 140)] for i in (r.randrange(0, 100) for _ in range(r.choice([1, 2, 5, 30])))]
+            contents += own
+            group += [g] * len(own)
+            want += [x for f in starts_of(own, 100) for x in f]
+        assert suffix_dedup.merged(100)(contents, np.array(group)).tolist() == want
+
+
+def thue_morse(a, b, n):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_hashes_decide_nothing(spark):
+    """Two words, and two texts, that polynomial hashes modulo a power of two can't tell apart."""
+    one, two = thue_morse("a", "b", 1024), thue_morse("b", "a", 1024)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, one + " " + tail), (2, two + " " + tail), (3, one), (4, two)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in rlz_dedup.rlz_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    texts = [t.encode() for _, t in rows]
+    want = {i: sum(g) for (i, _), g in zip(rows, brute(texts, 100))}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
+def test_repeated_rows_cut_differently(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(300))
+    rows = [(5, "x " + passage), (1, passage[:600])] + [(9, " ".join(word() for _ in range(300))) for _ in range(3)] + [(5, "x " + passage)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    order = sorted(set(rows), key=lambda x: x[0])
+    for shard in (1 << 20, 700):
+        got = suffix_dedup.suffix_dedup(docs.filter("doc_id < 9"), shard=shard).collect()
+        want = {i: sum(g) for (i, _), g in zip(order[:2], brute([t.encode() for _, t in order[:2]], 100))}
+        assert len(got) == 5 and all(x["n_removed"] == want[x["doc_id"]] for x in got)
 
 
 def test_empty_tables_and_carried_columns(spark):
