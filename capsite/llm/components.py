@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 from capsite.llm.common import staged
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): root is the least node of the component; nodes without edges don't appear.
 
-    Both steps are a grouped minimum (combined before the shuffle) joined back to the edges, so a hub's
-    edges are never gathered in one task. Rounds grow with the logarithm of the longest path.
+    Both steps are a grouped minimum (combined before the shuffle) joined back to the edges; a join that a hub
+    makes uneven is split by AQE. Rounds grow with the logarithm of the longest path and end when nothing moves.
     """
     u, v = F.col(a), F.col(b)
     edges = staged(edges.filter(u != v).select(F.greatest(u, v).alias("v"), F.least(u, v).alias("u")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy(F.col("v").alias("hub")).agg(F.least(F.min("u"), F.first("v")).alias("m"))
         # Large star: a hub's larger neighbours move to its least one; small star then does so for the smaller ones.
@@ -28,7 +28,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if (now["n"], now["x"]) == mark:
             break
         mark = (now["n"], now["x"])
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
