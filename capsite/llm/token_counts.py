@@ -153,6 +153,8 @@ class Unigram:
     def count_cut(self, words: list[str]) -> list[int]:
         """As count_many, by way of the parts between which no piece reaches; parts are remembered too."""
         words = list(words)
+        if not words:
+            return []
         if not self.cuts or any(BETWEEN in w or not w for w in words):
             return self.count_many(words)
         text = BETWEEN.join(words)
