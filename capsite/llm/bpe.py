@@ -3,13 +3,17 @@
 A merge decision reaches only so far to the right: the pair (a, b) of rank r is made unless b's right edge
 was taken earlier, by a rule of lower rank whose own right part might have been taken by one of yet lower
 rank, and so on. Following these chains through the merge list gives its sufficient lookahead L in bytes: a
-token of a prefix is final once L bytes beyond its end are known. A pre-token is thus encoded through a
-buffer of bounded size, emitting tokens as they become stable; one that fits the buffer is merged at once,
-all pre-tokens of a batch together in numpy. Results of frequent pre-tokens are remembered in a table of
-bounded size.
+token token of a prefix is final once L bytes beyond its end are known. Every pre-token is fed to a transducer in bounded
+pieces: its buffer is merged, tokens that are final leave, and what leaves is hashed and decoded at once.
+Transducers of many pre-tokens step side by side in numpy, and results of short pre-tokens are remembered in a
+table of bounded size. Texts are cut into pre-tokens chunk by chunk, so that beside the text itself memory does
+not grow with it. The decoder is a state machine over tokens: its state is an unfinished character, and a
+token's bytes lead to text and to the next state.
 
 Special tokens of the file are matched first, as the tokenizers library does by default. Defined cases: null
-text is empty and has no tokens.
+text is empty and has no tokens; repeated rows give equal rows; texts may be of any length, with or without space;
+null ids stay null; equal ranks don't occur, and of overlapping equal pairs the left one is made; empty
+tables give no rows; other columns are not read, so their names don't matter.
 """
 from __future__ import annotations
 
@@ -30,8 +34,10 @@ _L, _N, _S = "A-Za-zÀ-ÖØ-öø-ÿ", "0-9", r" \t\n\r"
 #: The same pattern over texts of these characters only.
 PLAIN_TEXT = re.compile(rf"[\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]*")
 PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-#: Pre-tokens remembered by a worker.
-REMEMBERED = 600_000
+#: Characters of pre-tokens that a worker remembers, and of the longest one.
+REMEMBERED, LONGEST = 6_000_000, 100
+#: Characters that are cut into pre-tokens at once, and that are encoded together.
+CHUNK, TOGETHER = 1 << 15, 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,12 +78,29 @@ class Vocabulary:
         self.text = [str(i) for i in range(size)]
         self.lookahead = self._lookahead()
         self.longest = max(map(len, self.raw))
+        self.whole = [_text(r) for r in self.raw]  # of tokens that hold whole characters only
         self.split = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def pre_tokens(self, text: str) -> list[str]:
-        """Cuts a text by the pattern; texts of plain Latin letters take an equal pattern of explicit classes, which is faster."""
-        return PLAIN.findall(text) if PLAIN_TEXT.fullmatch(text) else self.split.findall(text)
+    def pre_tokens(self, text: str, start: int, end: int) -> Iterator[list[str] | tuple[int, int]]:
+        """The pre-tokens of a stretch of text in lists, or the place of one that is longer than a chunk.
+
+        Texts of plain Latin letters take an equal pattern of explicit classes, which is faster. At the end of a
+        chunk the last two matches may look different with what follows, so they are cut again in the next one.
+        """
+        pattern = PLAIN if PLAIN_TEXT.fullmatch(text, start, end) else self.split
+        while start < end:
+            stop = min(start + CHUNK, end)
+            found = pattern.findall(text, start, stop)
+            if stop < end:
+                del found[-2:]
+            if found:
+                yield found
+                start = end if stop == end else start + sum(map(len, found))
+            else:
+                stop = pattern.match(text, start, end).end()
+                yield start, stop
+                start = stop
 
     def _lookahead(self) -> int:
         """Longest chain of rules, in bytes to the right, that can decide whether a rule applies.
@@ -174,93 +197,179 @@ class Transducer:
             self.buffer += piece[at : at + room]
             at += room
             if len(self.buffer) >= self.bound:
-                used = 0
-                for token in self.v.merge([self.buffer])[0]:
-                    end = used + len(self.v.raw[token])
-                    if end + self.v.lookahead > len(self.buffer):
-                        break
-                    yield token
-                    used = end
-                self.buffer = self.buffer[used:]
+                yield from self._final(self.v.merge([self.buffer])[0])
+
+    def _final(self, tokens: tuple[int, ...]) -> Iterator[int]:
+        """Those tokens of the buffer that are final; the rest stays in it."""
+        used = 0
+        for token in tokens:
+            end = used + len(self.v.raw[token])
+            if end + self.v.lookahead > len(self.buffer):
+                break
+            yield token
+            used = end
+        self.buffer = self.buffer[used:]
 
     def finish(self) -> Iterator[int]:
         yield from self.v.merge([self.buffer])[0] if self.buffer else ()
         self.buffer = b""
 
 
+def side_by_side(vocabulary: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
+    """Ids of each word: a transducer each, fed in step, whose buffers are merged together."""
+    lanes = [Transducer(vocabulary) for _ in words]
+    out: list[list[int]] = [[] for _ in words]
+    fed = [0] * len(words)
+    live = list(range(len(words)))
+    while live:
+        for i in live:
+            room = lanes[i].bound - len(lanes[i].buffer)
+            lanes[i].buffer += words[i][fed[i] : fed[i] + room]
+            fed[i] += room
+        rest = []
+        for i, tokens in zip(live, vocabulary.merge([lanes[i].buffer for i in live])):
+            if fed[i] >= len(words[i]):
+                out[i] += tokens
+            else:
+                out[i] += lanes[i]._final(tokens)
+                rest.append(i)
+        live = rest
+    return [tuple(x) for x in out]
+
+
 class Encoder:
     """Texts to ids, with a bounded memory of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
-        self.v, self.remembered, self.known = vocabulary, remembered, {}
-        self.short = 2 * (vocabulary.lookahead + vocabulary.longest)
+        self.v, self.remembered, self.known, self.counted, self.size = vocabulary, remembered, {}, {}, 0
 
-    def learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
+        """Results of all words; those of moderate length are remembered."""
         fresh = list(words - self.known.keys())
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known = {}
+        length = sum(map(len, fresh))
+        if self.size + length > self.remembered:
+            self.known, self.counted, self.size = {}, {}, 0
             fresh = list(words)
-        raw = [w.encode() for w in fresh]
-        fits = [i for i, w in enumerate(raw) if len(w) <= self.short]
-        for i, ids in zip(fits, self.v.merge([raw[i] for i in fits])):
-            self.known[fresh[i]] = ids
-        if len(fits) < len(fresh):
-            for w, r in zip(fresh, raw):
-                if len(r) > self.short:
-                    t = Transducer(self.v)
-                    self.known[w] = (*t.feed(r), *t.finish())
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; texts are taken in groups of about a million characters."""
-        group: list[list[list[str] | int]] = []
+        found = dict(zip(fresh, side_by_side(self.v, [w.encode() for w in fresh])))
+        long = {w: ids for w, ids in found.items() if len(w) > LONGEST}
+        self.known |= {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+        self.size += length
+        return self.known | long if long else self.known
+
+    def pieces(self, texts: Iterable[str]) -> Iterator[tuple[int, Iterable[int], bool]]:
+        """(number of the text, further ids of it, whether they are its last), in order."""
+        group: list[tuple[int, object, bool]] = []
         size = 0
-        for text in texts:
-            group.append(self._parts(text))
-            size += len(text)
-            if size > 1_000_000:
-                yield from self._flush(group)
-                group, size = [], 0
+        for n, text in enumerate(texts):
+            for part in self._parts(text):
+                if isinstance(part, tuple):
+                    yield from self._flush(group)
+                    group, size = [], 0
+                    yield from ((n, ids, False) for ids in self._long(text, *part))
+                    continue
+                group.append((n, part, False))
+                size += CHUNK if isinstance(part, list) and len(text) > CHUNK else len(text)
+                if size > TOGETHER:
+                    yield from self._flush(group)
+                    group, size = [], 0
+            group.append((n, [], True))
         yield from self._flush(group)
 
-    def _parts(self, text: str) -> list[list[str] | int]:
+    def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """All ids of each text."""
+        held: list[int] = []
+        for _, ids, last in self.pieces(texts):
+            held.extend(ids)
+            if last:
+                yield held
+                held = []
+
+    def counts(self, texts: Iterable[str]) -> Iterator[int]:
+        """The number of tokens of each text."""
+        group: list[tuple[object, bool]] = []
+        size = 0
+
+        def sizes():
+            words = set().union(*[p for p, _ in group if isinstance(p, list)])
+            known = self._learn(words)
+            self.counted |= {w: len(known[w]) for w in words - self.counted.keys() if len(w) <= LONGEST}
+            long = {w: len(known[w]) for w in words if len(w) > LONGEST}
+            return (self.counted | long if long else self.counted).__getitem__
+
+        total = 0
+        for text in chain(texts, [None]):
+            for part in self._parts(text) if text is not None else ():
+                group.append((sum(map(len, self._long(text, *part))) if isinstance(part, tuple) else part if isinstance(part, list) else 1, False))
+                size += CHUNK if len(text) > CHUNK else len(text)
+            group.append((0, True))
+            if size > TOGETHER or text is None:
+                look = sizes()
+                for part, last in group if text is not None else group[:-1]:
+                    total += sum(map(look, part)) if isinstance(part, list) else part
+                    if last:
+                        yield total
+                        total = 0
+                group, size = [], 0
+
+    def _parts(self, text: str) -> Iterator[list[str] | tuple[int, int] | int]:
         """Pre-tokens of the stretches between special tokens, and the ids of these."""
-        if self.v.specials is None or not any(s in text for s in self.v.special):
-            return [self.v.pre_tokens(text)]
-        return [self.v.special[p] if p in self.v.special else self.v.pre_tokens(p) for p in self.v.specials.split(text)]
-
-    def _flush(self, group: list[list[list[str] | int]]) -> Iterator[list[int]]:
-        self.learn(set().union(*[p for parts in group for p in parts if not isinstance(p, int)]))
-        look = self.known.__getitem__
-        for parts in group:
-            ids: list[int] = []
-            for p in parts:
-                if isinstance(p, int):
-                    ids.append(p)
-                else:
-                    ids.extend(chain.from_iterable(map(look, p)))
-            yield ids
+        at = 0
+        if self.v.specials is not None and any(s in text for s in self.v.special):
+            for m in self.v.specials.finditer(text):
+                yield from self.v.pre_tokens(text, at, m.start())
+                yield self.v.special[m.group()]
+                at = m.end()
+        yield from self.v.pre_tokens(text, at, len(text))
+
+    def _long(self, text: str, start: int, end: int) -> Iterator[list[int]]:
+        t = Transducer(self.v)
+        for a in range(start, end, CHUNK):
+            yield list(t.feed(text[a : min(a + CHUNK, end)].encode()))
+        yield list(t.finish())
+
+    def _flush(self, group: list[tuple[int, object, bool]]) -> Iterator[tuple[int, Iterable[int], bool]]:
+        known = self._learn(set().union(*[p for _, p, _ in group if isinstance(p, list)]))
+        look = known.__getitem__
+        for n, p, last in group:
+            yield n, [p] if isinstance(p, int) else list(chain.from_iterable(map(look, p))), last
+
+
+def _text(raw: bytes) -> str | None:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return None
 
 
 class Decoder:
     """Ids to text, a token at a time: bytes go through a UTF-8 automaton and leave as whole characters.
 
-    Ill-formed input gives one replacement character for each maximal part of a character.
+    The state is the unfinished character. Ill-formed input gives one replacement character for each maximal
+    part of a character.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.part, self.need, self.low, self.high = vocabulary, b"", 0, 0x80, 0xBF
 
     def feed(self, ids: Iterable[int]) -> str:
-        body = b"".join([self.v.raw[i] for i in ids])
-        out, at = [], 0
+        ids = list(ids)
+        whole = self.v.whole
         if not self.need:
-            try:
-                return body.decode()
-            except UnicodeDecodeError as e:
-                out.append(body[: e.start].decode())
-                at = e.start
-        while at < len(body):
-            b = body[at]
+            out = [whole[i] for i in ids]
+            if None not in out:  # the state stays empty
+                return "".join(out)
+        out = []
+        for i in ids:
+            if not self.need and whole[i] is not None:
+                out.append(whole[i])
+            else:
+                self._step(self.v.raw[i], out)
+        return "".join(out)
+
+    def _step(self, raw: bytes, out: list[str]) -> None:
+        at = 0
+        while at < len(raw):
+            b = raw[at]
             if self.need:
                 if self.low <= b <= self.high:
                     self.part += bytes([b])
@@ -268,7 +377,7 @@ class Decoder:
                     if not self.need:
                         out.append(self.part.decode())
                 else:
-                    out.append("�")
+                    out.append("\ufffd")
                     self.need = 0
             else:
                 at += 1
@@ -279,12 +388,11 @@ class Decoder:
                     self.low = 0xA0 if b == 0xE0 else 0x90 if b == 0xF0 else 0x80
                     self.high = 0x9F if b == 0xED else 0x8F if b == 0xF4 else 0xBF
                 else:
-                    out.append("�")
-        return "".join(out)
+                    out.append("\ufffd")
 
     def finish(self) -> str:
         """What an unfinished character at the end becomes."""
-        end, self.need = ("�" if self.need else ""), 0
+        end, self.need = ("\ufffd" if self.need else ""), 0
         return end
 
 
@@ -303,17 +411,23 @@ def bpe_round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        names, digits = e.v.text, hashlib.sha256
+        names = e.v.text
         for batch in batches:
-            n, a, b, ids_of = [], [], [], []
-            for ids in e.encode(batch.column(1).to_pylist()):
-                n.append(len(ids))
-                a.append(digits(",".join([names[i] for i in ids]).encode()).hexdigest())
-                d = Decoder(e.v)
-                b.append(digits((d.feed(ids) + d.finish()).encode()).hexdigest())
-                if with_ids:
-                    ids_of.append(ids)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            counts, a, b, ids_of = [], [], [], []
+            n, own, decoded, decoder, held = 0, hashlib.sha256(), hashlib.sha256(), Decoder(e.v), []
+            for _, ids, last in e.pieces(batch.column(1).to_pylist()):
+                if ids:
+                    own.update((("," if n else "") + ",".join([names[i] for i in ids])).encode())
+                    decoded.update(decoder.feed(ids).encode())
+                    n += len(ids)
+                    if with_ids:
+                        held += ids
+                if last:
+                    decoded.update(decoder.finish().encode())
+                    for column, value in ((counts, n), (a, own.hexdigest()), (b, decoded.hexdigest()), (ids_of, held)):
+                        column.append(value)
+                    n, own, decoded, decoder, held = 0, hashlib.sha256(), hashlib.sha256(), Decoder(e.v), []
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids_of, pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     cols = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
