@@ -7,8 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from capsite.llm import ann, bpe, jaccard_join, license_scan, packing, quality_rules, rlz_dedup, suffix_dedup, token_counts, url_filter
 
-#: Folder of public tokenizer files.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer_file(name: str, folder: str | None = None) -> str:
+    """A public tokenizer file, from a folder or from where the package of these files has it."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,8 +25,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))
 
 
-def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(_read(spark, sf_dir, "documents"))
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json", tokenizers))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,21 +45,21 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"))
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"), f"{tokenizers}/piece_bpe_32k.model")
+def op7_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model", tokenizers))
 
 
 def op8_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
-def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
-    return bpe.bpe_round_trip(_read(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json")
+def op9_bpe(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
+    return bpe.bpe_round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json", tokenizers))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    return url_filter.url_filter(pages, url_filter.listed_pages(pages))
+    return url_filter.url_filter(pages, url_filter.registered_list(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,7 @@ repeated urls are judged alike; null and repeated entries of the list don't matt
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: (host, path start, verdict) fixed by the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,8 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
 BITS_PER_URL = 16
 BROADCAST_BLOCKS = 1 << 17
-#: Host labels whose pages make up the list of the registered query.
-LISTED_LABEL = "ads-track"
+#: The list of the registered query: each host with each language and every STEP-th number below UP_TO.
+LISTED_HOSTS = ("ads-track.example.com", "ads-track.example.org", "tionsh.example.com", "tionsh.example.org", "therha.example.com", "theror.example.org")
+LISTED_LANGUAGES, STEP, UP_TO = ("en", "es", "de", "fr"), 3, 60_000
 
 
 def host_of(url: Column) -> Column:
@@ -85,9 +86,11 @@ def url_filter(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", ur
     return hits.unionByName(rest).select("page_id", "host", "path", rule.alias("rule"), judged.alias("verdict"), "listed")
 
 
-def listed_pages(pages: DataFrame, url: str = "url", label: str = LISTED_LABEL) -> DataFrame:
-    """The list of the registered query: the URLs of pages on hosts with the label."""
-    return pages.select(F.col(url).cast("string").alias("url")).filter(F.array_contains(F.split(host_of(F.col("url")), r"\."), label))
+def registered_list(spark: SparkSession) -> DataFrame:
+    """The list of the registered query, made by a rule and independent of the pages judged: 480,000 URLs in a feed's spelling."""
+    numbers = spark.range(0, UP_TO, STEP).select("id", F.explode(F.array(*map(F.lit, LISTED_HOSTS))).alias("host"))
+    each = numbers.select("id", "host", F.explode(F.array(*map(F.lit, LISTED_LANGUAGES))).alias("lang"))
+    return each.select(F.concat(F.lit("https://www."), "host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string"), F.lit("/?utm_medium=feed")).alias("url"))
 
 
 ORACLE = r"""
@@ -96,6 +99,7 @@ c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^(www|
   FROM (SELECT *, regexp_replace(regexp_replace(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '(^|&)(utm_[^&]*|ref=[^&]*)', '', 'g'), '^&', '') AS q FROM p)),
 r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-  coalesce(name IN (SELECT name FROM c WHERE name IS NOT NULL AND list_contains(string_split(host, '.'), 'ads-track')), false) AS listed FROM c)
+  coalesce(name IN (SELECT h || '/' || l || '/' || i FROM (SELECT unnest(['ads-track.example.com', 'ads-track.example.org', 'tionsh.example.com', 'tionsh.example.org', 'therha.example.com', 'theror.example.org']) AS h),
+    (SELECT unnest(['en', 'es', 'de', 'fr']) AS l), (SELECT unnest(range(0, 60000, 3)) AS i)), false) AS listed FROM c)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM r
 """

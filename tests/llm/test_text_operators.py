@@ -7,9 +7,9 @@ import re
 import pytest
 
 from capsite.llm import bpe, license_scan, quality_rules, token_counts
-from capsite.llm.queries import TOKENIZERS
+from capsite.llm.queries import tokenizer_file
 
-BPE_FILE, PIECES = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE_FILE, PIECES = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
 needs_files = pytest.mark.skipif(not os.path.exists(BPE_FILE), reason="no tokenizer files here")
 ODD = ["", None, " ", "  \n\n x", "a" * 5000, "don't I'll we've <|endoftext|> x<|endoftext|>", "é😀 ẞ 漢字かな" * 20, "\x00\x01 �", " " * 300 + "x", "1234567890" * 99, "▁ ▁▁x", "the" * 2000, "b\x1cc\x1d d\x85e"]
 
@@ -85,7 +85,7 @@ def test_bpe(spark):
 
 
 @needs_files
-def test_bpe_streams():
+def test_bpe_streams(monkeypatch):
     from tokenizers import Tokenizer
 
     v, library, r = bpe.Vocabulary(BPE_FILE), Tokenizer.from_file(BPE_FILE), random.Random(4)
@@ -97,9 +97,34 @@ def test_bpe_streams():
         ids = [r.randrange(50257) for _ in range(30)]
         d = bpe.Decoder(v)
         assert "".join(d.feed([i]) for i in ids) + d.finish() == library.decode(ids, skip_special_tokens=False)
-    small = bpe.Encoder(v, remembered=20)
-    rows = [t or "" for t in texts(60)]
-    assert list(small.encode(rows)) == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    rows = [t or "" for t in texts(60)] + ["don't we'll  " * 300, "漢字かな😀" * 900, "x" * 3000 + " " * 3000 + "y", ("x'" + "re ") * 500, "\n\n  \t" * 400 + "'ll"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in rows]
+    for chunk, remembered in ((1 << 15, 20), (1 << 15, 10**6), (50, 10**6), (7, 300)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "TOGETHER", 20 * chunk)
+        e = bpe.Encoder(v, remembered)
+        assert list(e.encode(rows)) == want and list(e.counts(rows)) == list(map(len, want)) == list(e.counts(rows))
+        pieces = list(e.pieces(rows))
+        assert [n for n, _, _ in pieces] == sorted(n for n, _, _ in pieces) and sum(last for *_, last in pieces) == len(rows)
+
+
+@needs_files
+def test_every_pre_token_goes_through_the_transducer(monkeypatch):
+    v = bpe.Vocabulary(BPE_FILE)
+    seen = []
+    monkeypatch.setattr(v, "merge", lambda words, merge=v.merge: seen.extend(words) or merge(words))
+    word = "ab" * 5000
+    assert bpe.side_by_side(v, [word.encode(), b" the"])[1] == tuple(v.merge([b" the"])[0])
+    assert max(map(len, seen)) <= bpe.Transducer(v).bound  # nothing longer than a buffer is merged
+
+
+@needs_files
+def test_bpe_and_counts_of_odd_tables(spark):
+    docs = spark.createDataFrame([(None, "a b", 1), (1, "a b", 2), (1, "a b", 3), (2, None, 4)], "doc_id bigint, text string, n_tokens int")
+    for f, path in ((bpe.bpe_round_trip, BPE_FILE), (token_counts.token_counts, PIECES)):
+        got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in f(docs, path).collect())
+        assert [g[0] for g in got] == [0, 1, 1, 2] and len({g[1] for g in got[:3]}) == 1 and got[3][1] == 0
+        assert f(docs.limit(0), path).count() == 0
 
 
 @needs_files
