@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from capsite.functions.stats import bh_adjust, chi2_tail_1df, chi2_yates
 
 
-def shift_statistics(annotated: DataFrame, control: str, treat: str) -> DataFrame:
+def shift_statistics(annotated: DataFrame, control: str, treat: str, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(gene, ds, chi2) of genes with two clusters or more and tags in both samples.
 
     The leading cluster of each sample is taken (the runner-up of control where they agree); the proximal
-    one goes first: the highest dominant position on plus, the lowest on minus.
+    one goes first: the highest dominant position on plus, the lowest on minus. scale multiplies the tags of
+    control and treat in the chi-square test.
     """
     def side(sample: str, s: str) -> DataFrame:
         own = annotated.filter((F.col("sample") == sample) & F.col("gene").isNotNull())
@@ -30,11 +31,11 @@ def shift_statistics(annotated: DataFrame, control: str, treat: str) -> DataFram
     one = two.groupBy("gene").agg(*[f(c, order).alias(f"{c}{k}") for k, f in ((1, F.min_by), (2, F.max_by)) for c in ("x", "y")])
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     ds = F.log2(((y1 + 0.1) / (y2 + 0.1)) / ((x1 + 0.1) / (x2 + 0.1)))
-    return one.select("gene", ds.alias("ds"), chi2_yates(x1, y1, x2, y2).alias("chi2"))
+    return one.select("gene", ds.alias("ds"), chi2_yates(x1 * scale[0], y1 * scale[1], x2 * scale[0], y2 * scale[1]).alias("chi2"))
 
 
-def promoter_shift(annotated: DataFrame, control: str, treat: str, p_value: float = 0.01) -> DataFrame:
+def promoter_shift(annotated: DataFrame, control: str, treat: str, p_value: float = 0.01, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Genes whose leading promoter moves: (comparison, gene, ds, pval, padj), padj <= p_value."""
-    stats = shift_statistics(annotated, control, treat).withColumn("pval", chi2_tail_1df("chi2"))
+    stats = shift_statistics(annotated, control, treat, scale).withColumn("pval", chi2_tail_1df("chi2"))
     out = bh_adjust(stats, "pval", "padj").filter(F.col("padj") <= p_value)
     return out.select(F.lit(f"{control}_VS_{treat}").alias("comparison"), "gene", "ds", "pval", "padj")

@@ -127,6 +127,7 @@ class BamReader(DataSourceReader):
         self.paths = options["paths"].split("\n") if "paths" in options else [options["path"]]
         self.samples = options.get("samples", "\n".join(self.paths)).split("\n")
         self.split = int(options.get("splitBytes", 64 << 20))
+        self.all_of, self.none_of, self.least = (int(options.get(k, 0)) for k in ("requireFlags", "excludeFlags", "minMapq"))
 
     def partitions(self):
         return [_Range(p, s, a, a + self.split) for p, s in zip(self.paths, self.samples) for a in range(0, max(_size(p), 1), self.split)]
@@ -146,7 +147,11 @@ class BamReader(DataSourceReader):
                 if skip:
                     blocks.take(skip)
             while blocks.fill(4) and blocks.at() < part.end:
-                chrom, *rest = decode_record(blocks.take(struct.unpack("<i", blocks.take(4))[0]), refs)
+                record = blocks.take(struct.unpack("<i", blocks.take(4))[0])
+                mapq, flag = record[9], struct.unpack_from("<H", record, 14)[0]
+                if flag & self.all_of != self.all_of or flag & self.none_of or mapq < self.least:  # before anything is decoded
+                    continue
+                chrom, *rest = decode_record(record, refs)
                 yield (part.sample, chrom, *rest)
 
     @staticmethod
@@ -167,7 +172,7 @@ class BamReader(DataSourceReader):
 
 
 class BamSource(DataSource):
-    """format("capsite_bam"): options path, or paths and samples as lines; splitBytes."""
+    """format("capsite_bam"): options path, or paths and samples as lines; splitBytes; requireFlags, excludeFlags and minMapq skip records undecoded (255 counts as unknown and passes)."""
 
     @classmethod
     def name(cls):
@@ -261,44 +266,98 @@ class BigWigSource(DataSource):
         return BigWigReader(self.options)
 
 
-def write_bigwig(path: str, lengths: list[tuple[str, int]], runs: list[tuple[str, int, int, float]], per_section: int = 1024) -> None:
-    """Writes sorted (chrom, start0, end, value) runs; one index leaf level under one root, no zoom levels.
+SECTION = "chrom string, start0 bigint, end bigint, n int, raw_size int, packed binary, bases bigint, low double, high double, total double, squares double"
 
-    The index of a track is built in memory, so a track is written by one task per sample and strand.
+
+def pack_section(chrom: str, number: int, runs: list[tuple[int, int, float]]) -> tuple:
+    """A row of SECTION: sorted (start0, end, value) runs of one chromosome as a compressed section and its summary."""
+    raw = struct.pack("<IIIIIBBH", number, runs[0][0], runs[-1][1], 0, 0, 1, 0, len(runs)) + b"".join(struct.pack("<IIf", *r) for r in runs)
+    values = [(b - a, v) for a, b, v in runs]
+    return (chrom, runs[0][0], runs[-1][1], len(runs), len(raw), zlib.compress(raw), sum(n for n, _ in values), min(v for _, v in values), max(v for _, v in values), sum(n * v for n, v in values), sum(n * v * v for n, v in values))
+
+
+def packed_sections(rows, lengths: list[tuple[str, int]], per_section: int = 1024):
+    """A frame of SECTION rows, in the order of (chr, start0), of a frame sorted like that."""
+    import pandas as pd
+
+    ids = {c: i for i, (c, _) in enumerate(sorted(lengths))}
+    names = [f.split()[0] for f in SECTION.split(", ")]
+
+    def pack(batches):
+        chrom, held = None, []
+        for pdf in batches:
+            out = []
+            for c, a, b, v in zip(pdf["chr"], pdf["start0"], pdf["end"], pdf["score"]):
+                if held and (c != chrom or len(held) == per_section):
+                    out.append(pack_section(chrom, ids[chrom], held))
+                    held = []
+                chrom = c
+                held.append((a, b, v))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([pack_section(chrom, ids[chrom], held)], columns=names)
+
+    return rows.select("chr", "start0", "end", "score").mapInPandas(pack, SECTION)
+
+
+def create_binary(path: str):
+    """A file to write from the start to the end, local or in any store that pyarrow reaches."""
+    if "://" not in path:
+        return open(path, "wb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_output_stream(inner)
+
+
+def write_bigwig(path: str, lengths: list[tuple[str, int]], sections: Iterator[tuple], fan: int = 256) -> None:
+    """Writes packed sections that come in the order of chromosome name and start; no zoom levels.
+
+    Sections go to a spool file as they come, since the head of the format holds where they end; the index has as
+    many levels as its size asks for. Only an entry of 32 bytes for each section stays in memory.
     """
+    import shutil
+    import tempfile
+
     ids = {c: i for i, (c, _) in enumerate(sorted(lengths))}
     size, key = dict(lengths), max((len(c) for c, _ in lengths), default=1)
-    runs = sorted(runs, key=lambda r: (ids[r[0]], r[1]))
-    sections: list[list] = []
-    for r in runs:
-        if not sections or sections[-1][0][0] != r[0] or len(sections[-1]) == per_section:
-            sections.append([])
-        sections[-1].append(r)
     tree = struct.pack("<IIIIQQ", 0x78CA8C91, max(len(ids), 1), key, 8, len(ids), 0) + struct.pack("<BBH", 1, 0, len(ids))
     tree += b"".join(c.encode().ljust(key, b"\0") + struct.pack("<II", i, size[c]) for c, i in ids.items())
     data_at = 64 + 40 + len(tree)
-    body, leaves, widest = struct.pack("<Q", len(sections)), [], 0
-    for s in sections:
-        raw = struct.pack("<IIIIIBBH", ids[s[0][0]], s[0][1], s[-1][2], 0, 0, 1, 0, len(s)) + b"".join(struct.pack("<IIf", a, b, v) for _, a, b, v in s)
-        widest, packed = max(widest, len(raw)), zlib.compress(raw)
-        leaves.append((ids[s[0][0]], s[0][1], ids[s[0][0]], s[-1][2], data_at + len(body), len(packed)))
-        body += packed
-    index_at, fan = data_at + len(body), 256
-    groups = [leaves[i : i + fan] for i in range(0, len(leaves), fan)] or [[]]
-    bounds = (leaves[0][0], leaves[0][1], leaves[-1][2], leaves[-1][3]) if leaves else (0, 0, 0, 0)
-    index = struct.pack("<IIQIIIIQII", 0x2468ACE0, fan, len(leaves), *bounds, index_at, per_section, 0)
-    leaf_bytes = [struct.pack("<BBH", 1, 0, len(g)) + b"".join(struct.pack("<IIIIQQ", *x) for x in g) for g in groups]
-    if len(groups) > 1:
-        if len(groups) > 65_000:
-            raise ValueError("too many sections for a two-level index")
-        at = index_at + 48 + 4 + 24 * len(groups)
-        index += struct.pack("<BBH", 0, 0, len(groups))
-        for g, b in zip(groups, leaf_bytes):
-            index += struct.pack("<IIIIQ", g[0][0], g[0][1], g[-1][2], g[-1][3], at)
-            at += len(b)
-    index += b"".join(leaf_bytes)
-    values = [(b - a, v) for _, a, b, v in runs]
-    summary = struct.pack("<Qdddd", sum(n for n, _ in values), min((v for _, v in values), default=0.0), max((v for _, v in values), default=0.0), sum(n * v for n, v in values), sum(n * v * v for n, v in values))
-    head = struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 104, data_at, index_at, 0, 0, 0, 64, max(widest, 1), 0)
-    with open(path, "wb") as f:
-        f.write(head + summary + tree + body + index)
+    at, widest, bases, low, high, total, squares = data_at + 8, 0, 0, float("inf"), float("-inf"), 0.0, 0.0
+    level: list[tuple] = []  # (chrom, start, chrom, end, offset, size) of leaves
+    with tempfile.TemporaryFile() as spool:
+        for chrom, start, end, _, raw_size, packed, n, lo, hi, t, q in sections:
+            level.append((ids[chrom], start, ids[chrom], end, at, len(packed)))
+            spool.write(packed)
+            at += len(packed)
+            widest, bases, low, high, total, squares = max(widest, raw_size), bases + n, min(low, lo), max(high, hi), total + t, squares + q
+        index_at, count = at, len(level)
+        levels = [[level[i : i + fan] for i in range(0, len(level), fan)] or [[]]]  # from the leaves up
+        span = lambda g: (g[0][0], g[0][1], max((x[2], x[3]) for x in g)[0], max((x[2], x[3]) for x in g)[1])
+        while len(levels[-1]) > 1:
+            nodes = [(*span(g), k) for k, g in enumerate(levels[-1])]
+            levels.append([nodes[i : i + fan] for i in range(0, len(nodes), fan)])
+        bounds = span([(*span(g),) for g in levels[0]]) if count else (0, 0, 0, 0)
+        index = [struct.pack("<IIQIIIIQII", 0x2468ACE0, fan, count, *bounds, index_at, 1024, 0)]
+        place = index_at + 48
+        for depth in range(len(levels) - 1, -1, -1):
+            nodes = levels[depth]
+            place += sum(4 + (32 if depth == 0 else 24) * len(g) for g in nodes)
+            if depth == 0:
+                index += [struct.pack("<BBH", 1, 0, len(g)) + b"".join(struct.pack("<IIIIQQ", *x) for x in g) for g in nodes]
+                continue
+            width = [4 + (32 if depth == 1 else 24) * len(g) for g in levels[depth - 1]]
+            offset = [place]
+            for w in width:
+                offset.append(offset[-1] + w)
+            index += [struct.pack("<BBH", 0, 0, len(g)) + b"".join(struct.pack("<IIIIQ", *x[:4], offset[x[4]]) for x in g) for g in nodes]
+        summary = struct.pack("<Qdddd", bases, low if count else 0.0, high if count else 0.0, total, squares)
+        head = struct.pack("<IHHQQQHHQQIQ", 0x888FFC26, 4, 0, 104, data_at, index_at, 0, 0, 0, 64, max(widest, 1), 0)
+        with create_binary(path) as f:
+            f.write(head + summary + tree + struct.pack("<Q", count))
+            spool.seek(0)
+            shutil.copyfileobj(spool, f, 1 << 20)
+            for part in index:
+                f.write(part)

@@ -1,4 +1,4 @@
-"""Tables, tracks and BED files, written by Spark; one folder per product, one part per sample."""
+"""Tables, tracks and BED files under their published names, written by Spark and joined part by part."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,9 +9,36 @@ DOTTED = {"tags_dominant_tss": "tags.dominant_tss", "q_0_1": "q_0.1", "q_0_9": "
 CLUSTER_KINDS = ("tagClusters", "consensusClusters", "assignedClusters", "unassignedClusters", "filteredClusters")
 
 
+def _joined(df: DataFrame, path: str, write) -> str:
+    """Writes df by ``write(writer, folder)`` and joins the parts, in order, to one file; any store that Spark reaches."""
+    spark = df.sparkSession
+    parts = f"{path}.parts"
+    write(df.write.mode("overwrite"), parts)
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    found = sorted((x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    if fs.exists(target):
+        fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        for part in found:
+            source = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
+    return path
+
+
 def _tsv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One header file of tab-separated text; reports are small beside the reads they sum up."""
-    df.orderBy(*order).select(*[F.col(c).alias(DOTTED.get(c, c)) for c in df.columns]).coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "NA").option("quote", "").csv(path)
+    """One header line and tab-separated text; reports are small beside the reads they sum up."""
+    rows = df.orderBy(*order).select(*[F.col(c).alias(DOTTED.get(c, c)) for c in df.columns]).coalesce(1)
+    _joined(rows, path, lambda w, folder: w.option("header", True).option("sep", "\t").option("nullValue", "NA").option("quote", "").csv(folder))
 
 
 def export_tss_table(raw: DataFrame, processed: DataFrame, samples: list[str], merged: list[str], folder: str, data: str = "raw", use_merged: bool = True) -> str:
@@ -45,10 +72,10 @@ def export_enhancer_table(enhancers: DataFrame, samples: list[str], folder: str)
     return _per_sample(enhancers, samples, folder, "enhancers.txt", ["chr", "enhancer"])
 
 
-def export_de_table(de: DataFrame, comparisons: list[str], folder: str, data: str = "sig", p_value: float = 0.01) -> list[str]:
+def export_de_table(de: DataFrame, comparisons: list[str], folder: str, data: str = "sig", p_value: float | None = 0.01) -> list[str]:
     if data not in ("sig", "all"):
         raise ValueError(f"unknown data {data!r}")
-    rows = de.filter(F.col("padj") < p_value) if data == "sig" else de
+    rows = de.filter(F.col("padj") < p_value) if data == "sig" and p_value is not None else de
     return _per_sample(rows, comparisons, folder, f"DE.table.{'sig' if data == 'sig' else 'aLL'}.txt", ["padj"], "comparison")
 
 
@@ -62,22 +89,23 @@ def bedgraph(signal: DataFrame) -> DataFrame:
 
 
 def export_bedgraph(signal: DataFrame, samples: list[str], folder: str, data: str = "processed", one_file: bool = False) -> list[str]:
-    """Tracks per sample, split by strand unless one_file; lines are sorted within and across part files."""
+    """Tracks per sample, split by strand unless one_file; lines are sorted by all tasks."""
     paths = []
     for s in samples:
         rows = bedgraph(signal.filter(F.col("sample") == s)).drop("sample")
         for name, keep in ([("", F.lit(True))] if one_file else [("plus.", F.col("score") > 0), ("minus.", F.col("score") < 0)]):
             paths.append(f"{folder}/{s}.TSS.{data}.{name}bedGraph")
-            rows.filter(keep).orderBy("chr", "start0").write.mode("overwrite").option("sep", "\t").csv(paths[-1])
+            _joined(rows.filter(keep).orderBy("chr", "start0"), paths[-1], lambda w, folder: w.option("sep", "\t").csv(folder))
     return paths
 
 
 def export_bigwig(signal: DataFrame, genome: DataFrame, samples: list[str], folder: str, data: str = "processed") -> list[str]:
-    """Plus and minus BigWig tracks per sample in a folder that the driver can write to.
+    """Plus and minus BigWig tracks per sample.
 
-    The format needs one writer per file; a track's runs stream to it sorted and are at most one per base.
+    Tasks sort a track and pack its sections; one writer, which the format needs, receives packed sections in
+    order, a partition at a time, and keeps an index entry of each.
     """
-    from capsite.sources.binary import write_bigwig
+    from capsite.sources.binary import packed_sections, write_bigwig
 
     lengths = [(r["chr"], r["length"]) for r in genome.collect()]
     paths = []
@@ -85,7 +113,7 @@ def export_bigwig(signal: DataFrame, genome: DataFrame, samples: list[str], fold
         for name, strand in (("plus", "+"), ("minus", "-")):
             rows = bedgraph(signal.filter((F.col("sample") == s) & (F.col("strand") == strand))).orderBy("chr", "start0")
             paths.append(f"{folder}/{s}.TSS.{data}.{name}.BigWig")
-            write_bigwig(paths[-1], lengths, [(r["chr"], r["start0"], r["end"], r["score"]) for r in rows.toLocalIterator()])
+            write_bigwig(paths[-1], lengths, (tuple(r) for r in packed_sections(rows, lengths).toLocalIterator()))
     return paths
 
 
@@ -112,5 +140,5 @@ def export_bed(clusters: DataFrame, samples: list[str], folder: str, kind: str)
         head = clusters.sparkSession.createDataFrame([("", -1, track)], "chr string, chrom_start bigint, value string")
         body = rows.select("chr", "chrom_start", F.concat_ws("\t", *rows.columns).alias("value"))
         paths.append(f"{folder}/{s}.{kind}.bed")
-        head.unionByName(body).orderBy("chr", "chrom_start").select("value").coalesce(1).write.mode("overwrite").text(paths[-1])
+        _joined(head.unionByName(body).orderBy("chr", "chrom_start").select("value"), paths[-1], lambda w, folder: w.text(folder))
     return paths
