@@ -1,15 +1,17 @@
 """Licence scan by a positional index of rare words.
 
-Templates are short word sequences of licence notices, each with a label and mandatory key phrases. The
-index lists the postings (template, position) of every licence word. A first pass counts in how many
-documents each licence word occurs. In the second, a document's licence words are looked up from the
-rarest on: the rarest word of a template that the document holds is the template's anchor there; each place
-of it proposes an alignment, the postings of the template's other words are intersected with the document's
-at that relative position, and an alignment counts when its mandatory phrases stand where they belong and
-the matched words hold enough of the template's weight (inverse document frequency).
+Templates are word sequences of licence notices, each with a label and mandatory key phrases. The index lists
+the postings (template, position) of every licence word. A first pass counts in how many documents each
+licence word occurs. In the second, a document's places of licence words are looked up, the words of highest
+inverse document frequency first: a place less the word's position in a template is where the template would
+begin, and the sets of these beginnings are intersected word by word over the words of the mandatory phrases,
+until none is left or all phrases stand where they belong. A beginning counts when the words that match there
+hold enough of the template's weight (inverse document frequency).
 
 Base phrases are templates that consist of one mandatory phrase, so every place of theirs is found.
-Defined cases: null text is empty: no words, null places, no labels, score 0. Repeated rows are judged alike.
+Defined cases: null text is empty: no words, null places, no labels, score 0. Repeated rows are judged alike; null ids
+stay null; texts may be of any length; empty tables give no rows; of words equally rare the alphabetically first
+is looked up first, which changes no result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -29,21 +31,37 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8: the same word
 BASE = [("cc-by", "cc by", ["cc by"]), ("gpl", "general public license", ["general public license"]), ("reserved", "all rights reserved", ["all rights reserved"])]
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license version 2", "except in compliance with the license"]),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["unless required by applicable law", "without warranties or conditions of any kind"]),
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["permission is hereby granted", "free of charge", "deal in the software without restriction"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["provided as is", "merchantability", "noninfringement"]),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license as published by the free software foundation", "version 3 of the license"]),
     ("gpl-2.0", "under the terms of the gnu general public license version 2", ["general public license version 2"]),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license as published by the free software foundation", "version 2 of the license"]),
     ("lgpl", "gnu lesser general public license", ["lesser general public license"]),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["this library is free software", "lesser general public license"]),
     ("agpl", "gnu affero general public license", ["affero general public license"]),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "source and binary forms"]),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license", "a copy of the mpl was not distributed"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["accompanying materials are made available", "eclipse public license"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use", "source and binary forms"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["must reproduce the above copyright notice"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products derived from this software"]),
     ("bsd", "licensed under the bsd license", ["bsd license"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
     ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
     ("cc0", "cc0 1 0 universal", ["cc0 1 0"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ["permission to use copy modify"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", ["free and unencumbered software", "released into the public domain"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify", "with or without fee"]),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want to public license"]),
 ]
 #: Least share of a template's weight that an alignment must match.
 ENOUGH = 0.6
@@ -86,33 +104,37 @@ class Index:
             for i, w in enumerate(t.words):
                 self.postings[w].append((k, i))
         self.weight = [sum(self.idf[w] for w in t.words) for t in self.templates]
-        self.needed = [frozenset(w for _, p in t.phrases for w in p) for t in self.templates]
+        inside = [{i for at, p in t.phrases for i in range(at, at + len(p))} for t in self.templates]
+        mandatory: list[list[tuple[bytes, int]]] = [[] for _ in self.templates]
+        for w in sorted(self.postings, key=lambda w: (-self.idf[w], w)):  # rarest first
+            for k, i in self.postings[w]:
+                if i in inside[k]:
+                    mandatory[k].append((w, i))
+        self.mandatory = mandatory
+        self.needed = [frozenset(w for w, _ in m) for m in mandatory]
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start of its first phrase, score) of all alignments that hold."""
+        """(template, start of its first phrase, score) of all beginnings that hold."""
         own = VOCABULARY.intersection(words)
-        if not own:
-            return []
-        open_templates = {k for k, need in enumerate(self.needed) if need <= own}
-        if not open_templates:
+        may = [k for k, need in enumerate(self.needed) if need <= own]
+        if not may:
             return []
-        anchors: dict[bytes, list[tuple[int, int]]] = {}
-        for w in sorted(own, key=lambda w: (-self.idf[w], w)):  # rarest first
-            for k, i in self.postings[w]:
-                t = self.templates[k]
-                inside = any(at <= i < at + len(p) for at, p in t.phrases)
-                if k in open_templates and inside:
-                    anchors.setdefault(w, []).extend((k, j) for k2, j in self.postings[w] if k2 == k and any(at <= j < at + len(p) for at, p in t.phrases))
-                    open_templates.discard(k)
-            if not open_templates:
-                break
+        wanted = frozenset().union(*(self.needed[k] for k in may))
+        places: dict[bytes, list[int]] = {w: [] for w in wanted}
+        for at, w in enumerate(words):
+            if w in wanted:
+                places[w].append(at)
         found = {}
         n = len(words)
-        for at, word in enumerate(words):
-            for k, i in anchors.get(word, ()):
-                t, start = self.templates[k], at - i
-                if any(start + p < 0 or words[start + p : start + p + len(q)] != q for p, q in t.phrases):
-                    continue
+        for k in may:
+            begins: set[int] | None = None
+            for w, i in self.mandatory[k]:
+                here = {at - i for at in places[w]}
+                begins = here if begins is None else begins & here
+                if not begins:
+                    break
+            t = self.templates[k]
+            for start in begins:
                 matched = sum(self.idf[w] for j, w in enumerate(t.words) if 0 <= start + j < n and words[start + j] == w)
                 if matched >= ENOUGH * self.weight[k]:
                     found[k, start + t.phrases[0][0]] = matched / self.weight[k]

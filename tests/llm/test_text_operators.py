@@ -43,6 +43,37 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, [])).count() == 0
 
 
+def test_templates_against_every_alignment():
+    r = random.Random(2)
+    notices = [t for _, t, _ in license_scan.TEMPLATES]
+    index = license_scan.Index({w: r.randint(0, 90) for w in license_scan.VOCABULARY}, 100)
+    hits = 0
+    for _ in range(400):
+        words = license_scan.words_of(" ".join(r.choice(["and so on", r.choice(notices), "the license"]) for _ in range(3)).encode())
+        for _ in range(r.choice([0, 1, 3, 8])):
+            words[r.randrange(len(words))] = b"other"
+        words = words[r.randrange(3) :]
+        want = {}
+        for k, t in enumerate(index.templates):
+            for start in range(-len(t.words), len(words)):
+                if all(start + at >= 0 and words[start + at : start + at + len(p)] == p for at, p in t.phrases):
+                    score = sum(index.idf[w] for j, w in enumerate(t.words) if 0 <= start + j < len(words) and words[start + j] == w) / index.weight[k]
+                    if score >= license_scan.ENOUGH:
+                        want[k, start + t.phrases[0][0]] = score
+        got = {(k, s): score for k, s, score in index.scan(words)}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in got)
+        hits += len(got)
+    assert hits > 300
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = "All rights reserved. " + "some ordinary words that differ from one another " * 2
+    docs = spark.createDataFrame([(None, text, "h", 1), (1, text, "h", 2), (1, text, "h", 3)], "doc_id bigint, text string, source string, kept int")
+    licences, quality = license_scan.license_scan(docs).collect(), quality_rules.quality_rules(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_base"], r["labels"]) for r in licences) == [(0, 1, "reserved"), (1, 1, "reserved"), (1, 1, "reserved")]
+    assert len({tuple(r[f] for f in quality_rules.FIELDS) for r in quality}) == 1 and len(quality) == 3
+
+
 def test_quality_counts(spark):
     rows = texts() + ["one two three four five " * 4, "a\na\n\n \na b", "x" * 20]
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
