@@ -11,8 +11,9 @@ fewer than ENOUGH candidates turn up meets all vectors of its dimension.
 Equal vectors form a class that is hashed and ranked once and stands for its least ids. Buckets are cut into
 blocks of bounded size by a hash of the class; a query meets every block of a bucket it probes.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors
-meet only others of their length; equal scores go to the smaller id; repeated (id, vector) rows count once.
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
+without an id; vectors meet only others of their length; equal scores go to the smaller id; repeated (id, vector)
+rows count once; other columns are not read; an empty table gives no rows.
 """
 from __future__ import annotations
 

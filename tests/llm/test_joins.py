@@ -1,4 +1,5 @@
 """Jaccard join, nearest neighbours, URL filter, packing and the pipeline against brute force."""
+import os
 import random
 
 import numpy as np
@@ -133,6 +134,26 @@ def test_nearest(spark, unit):
         assert [m[1] for m in same] == list(range(100, 120))
 
 
+def test_recall_on_the_given_table(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test data here")
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    odd = table.limit(1).selectExpr("cast(null as bigint) vec_id", "embedding", "label")
+    found = {}
+    for r in ann.nearest(table.unionByName(odd)).withColumnRenamed("query_id", "q").collect():
+        found.setdefault(r["q"], set()).add(r["vec_id"])
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    hit = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit, total = hit + len(best & found[ids[i]]), total + 20
+    assert hit / total >= 0.95
+
+
 def test_nearest_small(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (20, [1.0, 0.0]), (3, [1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
