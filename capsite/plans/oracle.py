@@ -99,6 +99,19 @@ def _cutoff_case() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+CHI2 = """SELECT gene, a, b, c, d, pow(greatest(abs(a - ea) - y, 0), 2) / ea + pow(greatest(abs(b - eb) - y, 0), 2) / eb + pow(greatest(abs(c - ec) - y, 0), 2) / ec + pow(greatest(abs(d - ed) - y, 0), 2) / ed AS chi2
+      FROM (SELECT *, least(0.5, abs(a - ea)) AS y FROM (SELECT *, (a + b) * (a + c) / nullif(a + b + c + d, 0) AS ea, (a + b) * (b + d) / nullif(a + b + c + d, 0) AS eb, (c + d) * (a + c) / nullif(a + b + c + d, 0) AS ec, (c + d) * (b + d) / nullif(a + b + c + d, 0) AS ed FROM sh))"""
+# erf(x) = 2 / sqrt(pi) * sum of exp(-x^2) 2^n x^(2n+1) / (2n+1)!!, whose terms are all positive; (2n+1)!! = (2n+1)! / (2^n n!).
+TAIL = """CASE WHEN chi2 IS NULL THEN NULL WHEN chi2 = 0 THEN 1.0 WHEN chi2 > 80 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 200),
+      lambda n: exp(-chi2 / 2 + 2 * n * ln(2.0) + (2 * n + 1) * ln(sqrt(chi2 / 2)) + lgamma(n + 1.0) - lgamma(2.0 * n + 2)))) END"""
+
+
+def _adjusted(source: str, p: str) -> str:
+    """SELECT of source with padj, by Benjamini and Hochberg; null p stay out."""
+    return f"""SELECT * EXCLUDE (n, r), least(1.0, min({p} * n / r) OVER (ORDER BY {p} DESC RANGE UNBOUNDED PRECEDING)) AS padj
+      FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (ORDER BY {p} RANGE UNBOUNDED PRECEDING) AS r FROM ({source}) WHERE {p} IS NOT NULL)"""
+
+
 FINAL = {
     "tss_counts": f"SELECT {SITE} FROM tss",
     "tss_wide_pivot": "SELECT chr, pos, strand, " + ", ".join(f"coalesce(sum(CASE WHEN sample = 'S{i}' THEN tags END), 0.0) AS S{i}" for i in range(4)) + " FROM tss GROUP BY chr, pos, strand",
@@ -128,6 +141,11 @@ FINAL = {
     "shift_ds": "SELECT gene, round(log2(((b + 0.1) / (d + 0.1)) / ((a + 0.1) / (c + 0.1))), 6) + 0.0 AS ds FROM sh",
     "shift_chi2_stat": """SELECT gene, round(pow(greatest(abs(a - ea) - y, 0), 2) / ea + pow(greatest(abs(b - eb) - y, 0), 2) / eb + pow(greatest(abs(c - ec) - y, 0), 2) / ec + pow(greatest(abs(d - ed) - y, 0), 2) / ed, 6) + 0.0 AS chi2
       FROM (SELECT *, least(0.5, abs(a - ea)) AS y FROM (SELECT *, (a + b) * (a + c) / nullif(a + b + c + d, 0) AS ea, (a + b) * (b + d) / nullif(a + b + c + d, 0) AS eb, (c + d) * (a + c) / nullif(a + b + c + d, 0) AS ec, (c + d) * (b + d) / nullif(a + b + c + d, 0) AS ed FROM sh))""",
+    "shift_padj": f"""SELECT 'control_VS_treat' AS comparison, gene, round(log2(((b + 0.1) / (d + 0.1)) / ((a + 0.1) / (c + 0.1))), 6) + 0.0 AS ds, round(pval, 6) + 0.0 AS pval, round(padj, 6) + 0.0 AS padj
+      FROM ({_adjusted(f"SELECT *, {TAIL} AS pval FROM ({CHI2})", "pval")}) WHERE padj <= 0.01""",
+    "volcano_classes": f"""SELECT comparison, gene, round(log2_fold_change, 6) + 0.0 AS log2_fold_change, round(-log10(pvalue), 6) + 0.0 AS neg_log10_p,
+      CASE WHEN padj < 0.05 AND abs(log2_fold_change) > 1 THEN 'both' WHEN padj < 0.05 THEN 'significant' WHEN abs(log2_fold_change) > 1 THEN 'changed' ELSE 'none' END AS class
+      FROM ({_adjusted("SELECT 'control_VS_treat' AS comparison, CAST(c_custkey AS VARCHAR) AS gene, (c_custkey * 31 % 97 - 48) / 12.0 AS log2_fold_change, pow((c_custkey * 7919 % 10007 + 1) / 10008.0, 2) AS pvalue FROM customer", "pvalue")})""",
     "bh_adjust": """SELECT c_custkey, round(p, 6) + 0.0 AS p, round(least(1.0, min(p * n / r) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) + 0.0 AS padj
       FROM (SELECT c_custkey, p, count(*) OVER () AS n, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r FROM (SELECT c_custkey, (c_custkey * 7919 % 10007 + 1) / 10008.0 AS p FROM customer))""",
     "correlation": "SELECT v.a AS sample_a, v.b AS sample_b, round(v.r, 2) AS pearson FROM (SELECT " + ", ".join(f"corr(S{i}, S{j}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4)) + " FROM (SELECT chr, pos, strand, " + ", ".join(f"coalesce(sum(CASE WHEN sample = 'S{i}' THEN tags END), 0.0) AS S{i}" for i in range(4)) + " FROM tss GROUP BY ALL)) q, LATERAL (VALUES " + ", ".join(f"('S{i}', 'S{j}', r{i}{j})" for i in range(4) for j in range(i + 1, 4)) + ") v(a, b, r)",

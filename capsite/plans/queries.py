@@ -90,6 +90,12 @@ class View:
     def given_p(self) -> DataFrame:
         return _table(self.spark, self.dir, "customer").select("c_custkey", ((F.col("c_custkey") * 7919 % 10007 + 1) / F.lit(10008.0)).alias("p"))
 
+    def given_de(self) -> DataFrame:
+        """A table as de() gives it, made of customers by arithmetic alone, so that SQL can follow."""
+        k = F.col("c_custkey")
+        table = self.given_p().select(k.cast("string").alias("gene"), F.lit("control_VS_treat").alias("comparison"), ((k * 31 % 97 - 48) / F.lit(12.0)).alias("log2_fold_change"), (F.col("p") * F.col("p")).alias("pvalue"))
+        return bh_adjust(table, "pvalue", "padj")
+
 
 SITE_ORDER = ["sample", "chr", "pos", "strand", "tags"]
 BUILD: dict[str, Callable[[View], DataFrame]] = {
@@ -125,7 +131,7 @@ BUILD: dict[str, Callable[[View], DataFrame]] = {
     "pca": lambda v: pl.pca(v.raw(), SAMPLES, 2),
     "interquantile_hist": lambda v: pl.interquantile_histogram(v.consensus()),
     "shape_hist": lambda v: pl.shape_histogram(sh.shape_scores(v.merged(), v.consensus(), "PSS")),
-    "volcano_classes": lambda v: pl.volcano(v.de()),
+    "volcano_classes": lambda v: pl.volcano(v.given_de()),
     "bed12": lambda v: sinks.bed12(v.consensus()),
     "bedgraph": lambda v: sinks.bedgraph(v.merged()),
     "locus_sites": lambda v: pl.locus(v.merged(), v.clusters(), v.genes(), [f"G30_{c}+" for c in CHROMOSOMES])[1],
