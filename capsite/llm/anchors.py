@@ -34,8 +34,8 @@ _rng = np.random.default_rng(20240229)
 _GRAM = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _STEP = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Runs of an anchor beyond which it is split.
-LIMIT = 5_000
+#: Runs of an anchor beyond which it is split, and runs that are compared in one go.
+LIMIT, BUCKET = 5_000, 50_000
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -233,16 +233,15 @@ def repeats(docs: DataFrame, unit: Unit, in_shard: ShardFlags, merged: MergeFlag
     found = staged(docs.select("did", "t", "text").mapInArrow(first_pass, "h bigint, did bigint, t bigint, s bigint, n bigint, shard bigint"), "runs")
     sure = found.filter("shard < 0").select("did", "t", "s", (F.col("s") + F.col("n")).alias("e"))
     asked = staged(_met(found.filter("shard >= 0")), "asked")
-    contents = _contents(docs, asked, unit, along)
-    split = bool(asked.filter(F.col("runs") > limit).limit(1).count())
-    contents = staged(contents, "contents") if split else contents
-    out = sure.unionByName(_compared(contents.filter(F.col("runs") <= limit), unit, merged))
-    if split:
-        anew = staged(_anew(contents.filter(F.col("runs") > limit), unit, (unit.gram + w) // 2), "anew")
-        met = staged(_met(anew), "met")
-        out = out.unionByName(_compared(met.filter(F.col("runs") <= limit), unit, merged))
+    often = F.col("runs") > limit
+    n_often, n = asked.agg(F.count_if(often), F.count(F.lit(1))).first()
+    out = sure.unionByName(_compared(_contents(docs, asked.filter(~often), unit, along, _packed(_buckets(n - n_often, docs)), PACKED), unit, merged))
+    if n_often:
+        # Read from the same exchange of the texts as the others, and cut for these few runs only.
+        met = _met(_contents(docs, asked.filter(often), unit, along, _anew(unit, (unit.gram + w) // 2), RUN))
+        out = out.unionByName(_compared(met.filter(~often).mapInArrow(_packed(_buckets(n_often, docs)), PACKED), unit, merged))
         # A stretch that common is compared as whole windows; a partial minimum goes before the shuffle.
-        single = staged(_anew(met.filter(F.col("runs") > limit), unit, w), "windows")
+        single = met.filter(often).select("did", "t", "s", "shard", "content").mapInArrow(_anew(unit, w), RUN)
         first = single.groupBy("content").agg(F.min(F.struct("did", "t", "s")).alias("first"))
         later = single.join(first, "content").filter(F.struct("did", "t", "s") != F.col("first"))
         out = out.unionByName(later.select("did", "t", "s", (F.col("s") + w).alias("e")))
@@ -255,8 +254,13 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.join(held.filter(F.col("_a") != F.col("_b")).select("h", "runs").hint("shuffle_hash"), "h")
 
 
-def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str) -> DataFrame:
-    """The asked runs with the items that their windows cover."""
+RUN = "h bigint, did bigint, t bigint, s bigint, n bigint, shard bigint, content binary"
+PACKED = "bucket bigint, rows binary"
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str, then: Step, schema: str) -> DataFrame:
+    """The asked runs with the items that their windows cover, as the step ``then`` of the same worker makes of them."""
     names = ["h", "s", "n", "shard", "runs"]
     per_doc = asked.groupBy("did", "t").agg(F.collect_list(F.struct(*names)).alias("asked"))
     held = docs.join(per_doc.hint("shuffle_hash"), ["did", "t"]).select("did", "t", "text", "asked", along)
@@ -283,10 +287,10 @@ def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str) -> Data
                     yield pa.RecordBatch.from_arrays(columns, [*names, "did", "t", "content"])
                     held, size = [], 0
 
-    return held.mapInArrow(cut, "h bigint, s bigint, n bigint, shard bigint, runs bigint, did bigint, t bigint, content binary")
+    return held.mapInArrow(lambda batches: then(cut(batches)), schema)
 
 
-def _anew(rows: DataFrame, unit: Unit, gram: int) -> DataFrame:
+def _anew(unit: Unit, gram: int) -> Step:
     """The windows of runs in runs of anchors of ``gram`` items, with their contents."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,22 +298,84 @@ def _anew(rows: DataFrame, unit: Unit, gram: int) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                rows = [unit.items(c) for c in part.column(4).to_pylist()]
+                rows = [unit.items(c) for c in part.column("content").to_pylist()]
                 _, values, at = unit.arrays(rows)
                 h, s, n = runs(unit.gram_hashes(values, gram), window_starts(at, unit.window), unit.window - gram + 1)
                 r = np.searchsorted(at, s, "right") - 1
                 inner = s - at[r]
-                did, t, first, shard = (np.asarray(part.column(c)) for c in range(4))
+                did, t, first, shard = (np.asarray(part.column(c)) for c in ("did", "t", "s", "shard"))
                 cut = [unit.content(rows[a][b : b + m + unit.window - 1]) for a, b, m in zip(r.tolist(), inner.tolist(), n.tolist())]
                 columns = [h.view(np.int64), did[r], t[r], first[r] + inner, n, shard[r]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], [*names, "content"])
 
-    return rows.select("did", "t", "s", "shard", "content").mapInArrow(deal, "h bigint, did bigint, t bigint, s bigint, n bigint, shard bigint, content binary")
+    return deal
+
+
+PLACES = ["h", "did", "t", "s", "n"]
+
+
+def _buckets(n: int, docs: DataFrame) -> int:
+    """Buckets for about ``n`` rows, and as many as shuffles have tasks at least."""
+    return max(n // BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+
+
+def _packed(buckets: int) -> Step:
+    """Rows of runs with contents in buckets by anchor, compressed together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
+        def blobs() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            own = (mix(rows.column("h").to_numpy().astype(np.uint64)) % U(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            ids, first = np.unique(own[order], return_index=True)
+            rows = rows.take(pa.array(order))
+            out = []
+            for a, b in zip(first.tolist(), [*first.tolist()[1:], len(own)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(rows.slice(a, b - a))
+                out.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.binary())], ["bucket", "rows"])
 
-def _compared(rows: DataFrame, unit: Unit, merged: MergeFlags) -> DataFrame:
-    dealt = rows.select("h", "did", "t", "s", "n", "content").repartition("h").sortWithinPartitions("h", "did", "t", "s")
-    return dealt.mapInArrow(_resolved(unit, merged), "did bigint, t bigint, s bigint, e bigint")
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.select([*PLACES, "content"]))
+            if sum(x.num_rows for x in held) >= BUCKET:
+                yield blobs()
+                held = []
+        if held:
+            yield blobs()
+
+    return pack
+
+
+def _compared(packed: DataFrame, unit: Unit, merged: MergeFlags) -> DataFrame:
+    """(did, t, s, e) of repeats among the runs of packed buckets."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches([x for blob in held for x in pa.ipc.open_stream(blob)])
+            order = np.lexsort([table.column(c).to_numpy() for c in reversed(PLACES[:4])])
+            for i in range(0, len(order), 10_000):
+                yield from table.take(pa.array(order[i : i + 10_000])).combine_chunks().to_batches()
+
+        for batch in batches:
+            for b, blob in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if b != bucket and held:
+                    yield from resolve(whole())
+                    held = []
+                bucket = b
+                held.append(blob)
+        if held:
+            yield from resolve(whole())
+
+    resolve = _resolved(unit, merged)
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(unpack, "did bigint, t bigint, s bigint, e bigint")
 
 
 def _resolved(unit: Unit, merged: MergeFlags, block: int = PIECE):
