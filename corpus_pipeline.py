@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from capsite.llm import jaccard_join, packing, quality_rules, suffix_dedup
-from capsite.llm.common import staged
+from capsite.llm.queries import tokenizer_file
+from capsite.sources.staging import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +32,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and the bins they go to."""
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, tokenizer=tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
