@@ -129,9 +129,15 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.order[at], len(self.keys))
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Token ids of each word, all words merged in step: each takes its lowest-ranked pair, leftmost first."""
+        """Token ids of each word."""
+        ids, size = self.merged(words)
+        ids, ends = ids.tolist(), np.cumsum(size).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words end to end and their number for each, all words merged in step: each takes its lowest-ranked pair, leftmost first."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         length = np.array([len(w) for w in words])
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), length)
@@ -177,10 +183,7 @@ class Vocabulary:
             rank[inner] = self.ranks(ids[inner], ids[inner + 1])
         where = np.concatenate([d[0] for d in done])
         what = np.concatenate([d[1] for d in done])
-        order = np.argsort(where, kind="stable")
-        what = what[order].tolist()
-        ends = np.cumsum(np.bincount(where, minlength=len(words))).tolist()
-        return [tuple(what[a:b]) for a, b in zip([0, *ends], ends)]
+        return what[np.argsort(where, kind="stable")], np.bincount(where, minlength=len(words))
 
 
 class Transducer:
@@ -215,11 +218,14 @@ class Transducer:
         self.buffer = b""
 
 
-def side_by_side(vocabulary: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
-    """Ids of each word: a transducer each, fed in step, whose buffers are merged together."""
+def _go_on(vocabulary: Vocabulary, words: list[bytes], first: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Ids of words that are longer than a buffer: a transducer each, fed in step, whose buffers are merged together. first: merged first buffers."""
     lanes = [Transducer(vocabulary) for _ in words]
-    out: list[list[int]] = [[] for _ in words]
-    fed = [0] * len(words)
+    fed = [t.bound for t in lanes]
+    out: list[list[int]] = []
+    for t, w, tokens in zip(lanes, words, first):
+        t.buffer = w[: t.bound]
+        out.append(list(t._final(tokens)))
     live = list(range(len(words)))
     while live:
         for i in live:
@@ -237,24 +243,49 @@ def side_by_side(vocabulary: Vocabulary, words: list[bytes]) -> list[tuple[int,
     return [tuple(x) for x in out]
 
 
+def side_by_side(vocabulary: Vocabulary, words: list[bytes]) -> list[tuple[int, ...]]:
+    """Ids of each word: a transducer each, all fed one buffer at a time; a word that ends in its first is done with it."""
+    bound = Transducer(vocabulary).bound
+    out = vocabulary.merge([w[:bound] for w in words])
+    more = [i for i, w in enumerate(words) if len(w) > bound]
+    for i, ids in zip(more, _go_on(vocabulary, [words[i] for i in more], [out[i] for i in more])):
+        out[i] = ids
+    return out
+
+
+def counts_side_by_side(vocabulary: Vocabulary, words: list[bytes]) -> list[int]:
+    """The number of ids of each word, in the same way."""
+    bound = Transducer(vocabulary).bound
+    out = vocabulary.merged([w[:bound] for w in words])[1].tolist()
+    more = [i for i, w in enumerate(words) if len(w) > bound]
+    for i, ids in zip(more, side_by_side(vocabulary, [words[i] for i in more])):
+        out[i] = len(ids)
+    return out
+
+
 class Encoder:
     """Texts to ids, with a bounded memory of pre-tokens."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED):
-        self.v, self.remembered, self.known, self.counted, self.size = vocabulary, remembered, {}, {}, 0
+        self.v, self.remembered, self.known, self.counted = vocabulary, remembered, {}, {}
+        self.size = {"known": 0, "counted": 0}  # characters in either table
 
-    def _learn(self, words: set[str]) -> dict[str, tuple[int, ...]]:
-        """Results of all words; those of moderate length are remembered."""
-        fresh = list(words - self.known.keys())
+    def _learn(self, words: set[str], name: str, work) -> dict:
+        """Results of all words from the table ``name``; those of moderate length are remembered there."""
+        table = getattr(self, name)
+        fresh = list(words - table.keys())
         length = sum(map(len, fresh))
-        if self.size + length > self.remembered:
-            self.known, self.counted, self.size = {}, {}, 0
-            fresh = list(words)
-        found = dict(zip(fresh, side_by_side(self.v, [w.encode() for w in fresh])))
-        long = {w: ids for w, ids in found.items() if len(w) > LONGEST}
-        self.known |= {w: ids for w, ids in found.items() if len(w) <= LONGEST}
-        self.size += length
-        return self.known | long if long else self.known
+        if self.size[name] + length > self.remembered:
+            table, fresh = {}, list(words)
+            setattr(self, name, table)
+            self.size[name] = 0
+        found = dict(zip(fresh, work(self.v, [w.encode() for w in fresh])))
+        long = {w: x for w, x in found.items() if len(w) > LONGEST} if max(map(len, fresh), default=0) > LONGEST else {}
+        for w in long:
+            del found[w]
+        table.update(found)
+        self.size[name] += length
+        return table | long if long else table
 
     def pieces(self, texts: Iterable[str]) -> Iterator[tuple[int, Iterable[int], bool]]:
         """(number of the text, further ids of it, whether they are its last), in order."""
@@ -289,13 +320,6 @@ class Encoder:
         group: list[tuple[object, bool]] = []
         size = 0
 
-        def sizes():
-            words = set().union(*[p for p, _ in group if isinstance(p, list)])
-            known = self._learn(words)
-            self.counted |= {w: len(known[w]) for w in words - self.counted.keys() if len(w) <= LONGEST}
-            long = {w: len(known[w]) for w in words if len(w) > LONGEST}
-            return (self.counted | long if long else self.counted).__getitem__
-
         total = 0
         for text in chain(texts, [None]):
             for part in self._parts(text) if text is not None else ():
@@ -303,7 +327,7 @@ class Encoder:
                 size += CHUNK if len(text) > CHUNK else len(text)
             group.append((0, True))
             if size > TOGETHER or text is None:
-                look = sizes()
+                look = self._learn(set().union(*[p for p, _ in group if isinstance(p, list)]), "counted", counts_side_by_side).__getitem__
                 for part, last in group if text is not None else group[:-1]:
                     total += sum(map(look, part)) if isinstance(part, list) else part
                     if last:
@@ -328,8 +352,7 @@ class Encoder:
         yield list(t.finish())
 
     def _flush(self, group: list[tuple[int, object, bool]]) -> Iterator[tuple[int, Iterable[int], bool]]:
-        known = self._learn(set().union(*[p for _, p, _ in group if isinstance(p, list)]))
-        look = known.__getitem__
+        look = self._learn(set().union(*[p for _, p, _ in group if isinstance(p, list)]), "known", side_by_side).__getitem__
         for n, p, last in group:
             yield n, [p] if isinstance(p, int) else list(chain.from_iterable(map(look, p))), last
 
