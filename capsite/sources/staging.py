@@ -19,8 +19,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again: cuts the lineage, so that later plans stay small and a lost executor costs nothing."""
+    """The frame written as Parquet in the shared folder and read again: cuts the lineage, so that later plans stay small and a lost executor costs nothing. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/capsite-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # with the session, since plans read it until then
     return spark.read.schema(df.schema).parquet(path)
