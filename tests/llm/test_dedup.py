@@ -175,3 +175,20 @@ def test_empty_tables_and_carried_columns(spark):
     left = suffix_dedup.without_repeats(docs).collect()
     assert [(r["doc_id"], r["text"], r["n_chars"], r["rest"]) for r in sorted(left)] == [(1, text, 80, None), (2, "x ", 2, "s")]
     assert hashlib.sha256(text.encode()).hexdigest() == suffix_dedup.digest(docs).filter(F.col("doc_id") == 1).first()["kept_sha256"]
+
+
+def test_long_texts_and_clashing_names(spark):
+    """A text of several shards, a copy of a stretch of it across a cut, and columns named like results."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(280_000)]
+    text = " ".join(words)
+    rows = [(1, text, 5, "x", 0), (2, text[1_000_003:1_300_001], 5, "y", 0), (3, "short", 5, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, kept string, did int")
+    got = {x["doc_id"]: (x["n_removed"], bytes(x["kept"])) for x in suffix_dedup.suffix_dedup(docs).collect()}
+    assert got[1][0] == 0 and got[1][1] == text.encode() and got[2] == (299_998, b"") and got[3] == (0, b"short")
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"]) for x in rlz_dedup.rlz_dedup(docs).collect()}
+    n = len(rows[1][1].split())
+    assert got[1] == (280_000, 0) and got[2] in {(n, n), (n, n - 1), (n, n - 2)} and got[3] == (1, 0)
+    # nothing but the cut words at the ends can stay
+    left = {x["doc_id"]: x["kept"] for x in rlz_dedup.rlz_dedup(docs).collect()}[2]
+    assert set(bytes(left).split()) <= {rows[1][1].split()[0].encode(), rows[1][1].split()[-1].encode()}
