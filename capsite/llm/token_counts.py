@@ -7,8 +7,9 @@ last piece's start. A character that no one-character piece covers may be passed
 byte fallback it counts one piece a byte, unless the joined run of such characters is itself a piece.
 
 Words are cut as by the Metaspace rule: spaces become the mark, one is put in front, and a word begins at
-each mark. Word counts are remembered in a table of bounded size. Defined cases: null and empty texts have
-no tokens.
+each mark. Word counts are remembered in tables that are bounded by their characters. Defined cases: null and
+empty texts have no tokens; repeated rows are counted alike; null ids stay null; texts and words may be of any
+length; empty tables give no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value
-#: Words remembered by a worker, and the longest that are counted in step.
-REMEMBERED, IN_STEP = 1_500_000, 40
+#: Characters of words remembered by a worker, and the length of the longest words that are counted in step.
+REMEMBERED, IN_STEP = 12_000_000, 40
 BETWEEN = "\x00"
 
 
@@ -48,6 +49,7 @@ class Unigram:
         self.parts: dict[str, int] = {}
         self.known: dict[str, int] = {}
         self.remembered = remembered
+        self.held = {"parts": 0, "known": 0}  # characters in either table
 
     def count(self, word: str) -> int:
         """Pieces of one pre-token."""
@@ -150,6 +152,17 @@ class Unigram:
             out[index[j]] = self.count(own[j])
         return out.tolist()
 
+    def _fresh(self, name: str, seen: set[str]) -> list[str]:
+        """Those not in the table, which begins anew when it would grow beyond its bound."""
+        fresh = list(seen - getattr(self, name).keys())
+        size = sum(map(len, fresh))
+        if self.held[name] + size > self.remembered:
+            setattr(self, name, {})
+            self.held[name], fresh = 0, list(seen)
+            size = sum(map(len, fresh))
+        self.held[name] += size
+        return fresh
+
     def count_cut(self, words: list[str]) -> list[int]:
         """As count_many, by way of the parts between which no piece reaches; parts are remembered too."""
         words = list(words)
@@ -167,10 +180,7 @@ class Unigram:
         at = [0, *(np.flatnonzero(cut) + 1).tolist(), len(text)]
         parts = [text[a:b] for a, b in zip(at, at[1:])]
         seen = set(parts)
-        fresh = list(seen - self.parts.keys())
-        if len(self.parts) + len(fresh) > self.remembered // 2:
-            self.parts, fresh = {}, list(seen)
-        fresh = [p for p in fresh if p != BETWEEN]
+        fresh = [p for p in self._fresh("parts", seen) if p != BETWEEN]
         self.parts.update(zip(fresh, self.count_many(fresh)))
         self.parts[BETWEEN] = 0
         counts = np.array([*map(self.parts.__getitem__, parts)])
@@ -195,9 +205,7 @@ class Unigram:
             if size < group and i + 1 < len(texts):
                 continue
             seen = set().union(*cut)
-            fresh = list(seen - self.known.keys())
-            if len(self.known) + len(fresh) > self.remembered:
-                self.known, fresh = {}, list(seen)
+            fresh = self._fresh("known", seen)
             self.known.update(zip(fresh, self.count_cut([MARK + w for w in fresh])))
             look = self.known.__getitem__
             out += [sum(map(look, words)) for words in cut]

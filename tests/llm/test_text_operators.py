@@ -176,8 +176,9 @@ def test_token_ties():
     r = random.Random(8)
     for whole in (True, False):
         pieces = [("<unk>", 0.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("ba", -4.0), ("aab", -6.0), ("xy", -9.0), ("abab", -8.0 if whole else -8.1)]
-        for fallback in (False,):
-            model, library = token_counts.Unigram(pieces, fallback), Tokenizer(models.Unigram(pieces, 0, fallback))
-            words = ["".join(r.choice("abxy") for _ in range(r.randint(1, 12))) for _ in range(400)]
+        for fallback in (False, True):
+            pieces = pieces + [(f"<0x{b:02X}>", -30.0) for b in range(256)] * fallback
+            model, library = token_counts.Unigram(pieces, fallback, 500), Tokenizer(models.Unigram(pieces, 0, fallback))
+            words = ["".join(r.choice("abxyé") for _ in range(r.randint(1, 12))) for _ in range(400)]
             want = [len(library.encode(w).ids) for w in words]
             assert model.count_many(words) == model.count_cut(words) == [model.count(w) for w in words] == want
