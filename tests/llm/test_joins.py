@@ -98,9 +98,11 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     loops = {a for a, b in edges if a == b}
-    assert got == {x: find(x) for x in parent if x in got} and set(parent) - set(got) <= loops
+    for few in (0, 10**6):
+        got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "a bigint, b bigint"), few=few).collect()}
+        assert got == {x: find(x) for x in parent if x in got} and set(parent) - set(got) <= loops
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 def vectors(n=700, d=24, unit=True, seed=1):
