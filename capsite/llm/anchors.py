@@ -84,6 +84,18 @@ def numbered(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.fromiter(map(hash_word, known), np.uint64, len(known))[ids] if words else np.zeros(0, np.uint64)
 
 
+def word_pieces(text: bytes, size: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first word, words) of stretches of about ``size`` bytes, so that a long text is never one list."""
+    at = first = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text) and not text[end : end + 1].isspace():
+            end += 1
+        words = text[at:end].split()
+        yield first, words
+        first, at = first + len(words), end
+
+
 @dataclass(frozen=True)
 class Unit:
     """What a sequence consists of: bytes, or words, runs of other than ASCII white space. Grams have ``gram`` items."""
@@ -114,15 +126,11 @@ class Unit:
             for s in range(0, len(text) - self.window + 1, size):
                 yield s, text[s : s + size + self.window - 1]
         else:
-            at, first, tail = 0, 0, []
-            while at < len(text):
-                end = min(at + size, len(text))
-                while end < len(text) and not text[end : end + 1].isspace():
-                    end += 1
-                words = tail + text[at:end].split()
-                yield first, words
+            tail: list[bytes] = []
+            for first, words in word_pieces(text, size):
+                words = tail + words
+                yield first - len(tail), words
                 tail = words[max(len(words) - self.window + 1, 0) :]
-                first, at = first + len(words) - len(tail), end
 
     def gram_hashes(self, x: np.ndarray, gram: int) -> np.ndarray:
         """A hash of each gram of neighbouring values."""
@@ -235,10 +243,10 @@ def repeats(docs: DataFrame, unit: Unit, in_shard: ShardFlags, merged: MergeFlag
     asked = staged(_met(found.filter("shard >= 0")), "asked")
     often = F.col("runs") > limit
     n_often, n = asked.agg(F.count_if(often), F.count(F.lit(1))).first()
-    out = sure.unionByName(_compared(_contents(docs, asked.filter(~often), unit, along, _packed(_buckets(n - n_often, docs)), PACKED), unit, merged))
+    out = sure.unionByName(_compared(_contents(docs, asked.filter(~often), unit, along, shard, _packed(_buckets(n - n_often, docs)), PACKED), unit, merged))
     if n_often:
         # Read from the same exchange of the texts as the others, and cut for these few runs only.
-        met = _met(_contents(docs, asked.filter(often), unit, along, _anew(unit, (unit.gram + w) // 2), RUN))
+        met = _met(_contents(docs, asked.filter(often), unit, along, shard, _anew(unit, (unit.gram + w) // 2), RUN))
         out = out.unionByName(_compared(met.filter(~often).mapInArrow(_packed(_buckets(n_often, docs)), PACKED), unit, merged))
         # A stretch that common is compared as whole windows; a partial minimum goes before the shuffle.
         single = met.filter(often).select("did", "t", "s", "shard", "content").mapInArrow(_anew(unit, w), RUN)
@@ -259,7 +267,7 @@ PACKED = "bucket bigint, rows binary"
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str, then: Step, schema: str) -> DataFrame:
+def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str, size: int, then: Step, schema: str) -> DataFrame:
     """The asked runs with the items that their windows cover, as the step ``then`` of the same worker makes of them."""
     names = ["h", "s", "n", "shard", "runs"]
     per_doc = asked.groupBy("did", "t").agg(F.collect_list(F.struct(*names)).alias("asked"))
@@ -273,19 +281,25 @@ def _contents(docs: DataFrame, asked: DataFrame, unit: Unit, along: str, then: S
             wanted = batch.column(3)
             ends = wanted.offsets.to_numpy()
             fields = {c: wanted.values.field(c).to_numpy() for c in names}
-            held, size = [], 0
+            held, total = [], 0
             for i in once:
                 a, b = int(ends[i]), int(ends[i + 1])
-                items = unit.items(batch.column(2)[i].as_py())
-                own = [unit.content(items[s : s + n + more]) for s, n in zip(fields["s"][a:b].tolist(), fields["n"][a:b].tolist())]
+                own: list[bytes] = [b""] * (b - a)
+                starts, counts = fields["s"][a:b], fields["n"][a:b]
+                order = np.argsort(starts)
+                ranked = starts[order]
+                for first, items in unit.pieces(batch.column(2)[i].as_py(), size):  # a run lies within one piece
+                    for k in order[slice(*np.searchsorted(ranked, (first, first + len(items) - more)))].tolist():
+                        s = int(starts[k]) - first
+                        own[k] = unit.content(items[s : s + int(counts[k]) + more])
                 held.append((i, a, b, own))
-                size += sum(map(len, own))
-                if size > 4_000_000 or i == once[-1]:
+                total += sum(map(len, own))
+                if total > 4_000_000 or i == once[-1]:
                     pick = np.concatenate([np.arange(a, b) for _, a, b, _ in held])
                     row = pa.array(np.repeat([i for i, *_ in held], [b - a for _, a, b, _ in held]))
                     columns = [*(pa.array(fields[c][pick]) for c in names), batch.column(0).take(row), batch.column(1).take(row), pa.array([c for *_, own in held for c in own], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, [*names, "did", "t", "content"])
-                    held, size = [], 0
+                    held, total = [], 0
 
     return held.mapInArrow(lambda batches: then(cut(batches)), schema)
 

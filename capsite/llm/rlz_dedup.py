@@ -95,15 +95,24 @@ def rlz_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", windo
             ids, texts, spans = (batch.column(i).to_pylist() for i in range(3))
             n_words, n_removed, kept, stretches = [], [], [], []
             for t, s in zip(texts, spans):
-                words, merged = t.split(), an.merged_spans(s)
-                left, at = [], 0
-                for a, b in merged:
-                    left += words[at:a]
-                    at = b
-                left += words[at:]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(left))
-                kept.append(b" ".join(left))
+                merged = an.merged_spans(s)
+                left, total, k = bytearray(), 0, 0
+                for first, words in an.word_pieces(t):
+                    total = first + len(words)
+                    at = first
+                    while k < len(merged) and merged[k][0] < total:
+                        a, b = merged[k]
+                        for w in words[at - first : max(a, at) - first]:
+                            left += b" " + w
+                        at = max(at, min(b, total))
+                        if b > total:
+                            break
+                        k += 1
+                    for w in words[at - first :]:
+                        left += b" " + w
+                n_words.append(total)
+                n_removed.append(sum(b - a for a, b in merged))
+                kept.append(bytes(left[1:]))
                 stretches.append([{"s": a, "e": b} for a, b in merged])
             kinds = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(stretches, kinds), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
